@@ -126,20 +126,29 @@ def unzipped(data: bytes) -> bytes:
     return pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), "zstd", asbytes=True)
 
 
-def cuts(keys: np.ndarray, n: int) -> np.ndarray:
-    """Offsets of n equal hash ranges in sorted keys."""
-    at = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+def key_bits(blocks: DataFrame) -> int:
+    """Leading bits of a hash to keep as key: 48, or 16 more than it takes to number the corpus's bytes.
+
+    Two of a corpus's n-grams then share a key with a chance of some 2**-17 for each n-gram at most.
+    """
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    return min(64, max(48, int(total).bit_length() + 16))
+
+
+def cuts(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
+    """Offsets of n equal hash ranges in sorted keys of so many bits."""
+    at = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, at), [len(keys)])).astype(np.int64)
 
 
-def send(blocks: DataFrame, n: int, keys_of: Callable) -> DataFrame:
+def send(blocks: DataFrame, n: int, bits: int, keys_of: Callable) -> DataFrame:
     """range int, block long, run binary.  keys_of(ids, null, texts) gives sorted distinct keys and None or an array of a value for each."""
 
     def run(batches):
         for batch in batches:
             for block, body in zip(batch.column("block"), batch.column("body")):
                 keys, values = keys_of(*unpack(body.as_buffer()))
-                c = cuts(keys, n)
+                c = cuts(keys, n, bits)
                 for i in range(n):
                     if c[i] < c[i + 1]:
                         s = slice(c[i], c[i + 1])

@@ -29,7 +29,7 @@ from .common import table
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 
 
-def grams(texts, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def grams(texts, order: int, bits: int = 64) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each order 1..n its gram hashes and their texts' offsets; and the numbers of words."""
     buf, off = K.texts(texts)
     out = [([], [np.zeros(1, np.int64)]) for _ in range(order)]
@@ -41,7 +41,7 @@ def grams(texts, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
         words.append(np.diff(wo))
         for k in range(order):
             at, so = K.window_starts(wo, k + 1)
-            out[k][0].append(K.gram_hash(h, at, k + 1))
+            out[k][0].append(K.gram_hash(h, at, k + 1) >> np.uint64(64 - bits))
             out[k][1].append(so[1:] + base[k])
             base[k] += int(so[-1])
     none = np.zeros(0, np.uint64)
@@ -64,17 +64,17 @@ def _sum(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words)."""
     packed = B.pack(docs, doc_id, text)
-    n = B.ranges(packed, B.RANGE_BYTES // 2)
+    n, bits = B.ranges(packed, B.RANGE_BYTES // 2), B.key_bits(packed)
 
     def keys_of(ids, null, texts):
-        keys, counts = _table(grams(texts, order)[0])
+        keys, counts = _table(grams(texts, order, bits)[0])
         return keys, counts.astype(np.uint32)
 
-    answers = B.answer(B.send(packed, n, keys_of), _sum)
+    answers = B.answer(B.send(packed, n, bits, keys_of), _sum)
     size = _corpus_words(packed)
 
     def use(ids, null, texts, total):
-        found, words = grams(texts, order)
+        found, words = grams(texts, order, bits)
         keys = _table(found)[0]
         c = [total[np.searchsorted(keys, h)] for h, _ in found]
         # score of the last word of each gram by the grams of its order or less
