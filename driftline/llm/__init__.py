@@ -5,11 +5,20 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, linededup, lm, quality, suffixes, warc
-
-_QUERIES = [(bpe.op1_bpe, None), (suffixes.op2_suffix_dedup, suffixes.SQL), (warc.op3_warc, warc.SQL), (quality.op6_quality_rules, quality.SQL),
-            (linededup.op7_line_dedup, linededup.SQL), (decontaminate.op8_decontaminate, decontaminate.SQL),
-            (lm.op9_lm_scores, lm.SQL), (jaccard.op5_jaccard_join, jaccard.SQL)]
+from . import bpe, decontaminate, jaccard, licenses, linededup, lm, quality, suffixes, toxicity, warc
+
+_QUERIES = [
+    (bpe.op1_bpe, None),
+    (suffixes.op2_suffix_dedup, None),
+    (warc.op3_warc, warc.SQL),
+    (toxicity.op4_toxicity, None),
+    (jaccard.op5_jaccard_join, jaccard.SQL),
+    (quality.op6_quality_rules, quality.SQL),
+    (linededup.op7_line_dedup, linededup.SQL),
+    (decontaminate.op8_decontaminate, decontaminate.SQL),
+    (lm.op9_lm_scores, lm.SQL),
+    (licenses.op10_license_scan, licenses.SQL),
+]
 
 
 def queries() -> dict:

@@ -346,4 +346,4 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_bytes", "aggregate(spans, 0L, (s, x) -> s + x.end - x.start) as n_removed", "cast(size(spans) as long) as n_spans", "sha2(kept, 256) as kept_sha256")
 
 
-SQL = None
+
