@@ -25,7 +25,7 @@ from .common import written
 
 #: Bytes of text in a block (one longer text makes a block of its own), and bytes of text for each hash range.
 BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 8 << 20
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -169,6 +169,17 @@ def answer(runs: DataFrame, merge: Callable) -> DataFrame:
     return runs.groupBy("range").applyInPandas(run, "block long, range int, answer binary")
 
 
+def in_several(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
+    """For each run's keys, whether another run has them or the run itself marks them (a bool for each key)."""
+    flags = [np.frombuffer(unzipped(v), bool) for _, v in runs]
+    keys = np.concatenate([k for k, _ in runs])
+    keys.sort()
+    twice = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *(k[f] for (k, _), f in zip(runs, flags))]))
+    if not len(twice):
+        return [np.zeros(len(k), bool) for k, _ in runs]
+    return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k, _ in runs]
+
+
 def back(blocks: DataFrame, answers: DataFrame, kind, use: Callable, schema: str) -> DataFrame:
     """use(ids, null, texts, answers in key order) for each block gives a pandas frame of `schema`."""
 

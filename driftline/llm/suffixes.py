@@ -46,13 +46,15 @@ SPAN = MATCH - GRAM + 1
 BEFORE = SPAN - 1
 #: Bytes of a sort key: MATCH from the anchor on, BEFORE before it, and the numbers of each that are in the text.
 KEY = MATCH + BEFORE + 2
+#: Bytes of text in a block: its keys are Python objects while they are sorted.
+BLOCK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """Position, document, first and last string start, and gram hash of each anchor."""
     out = []
-    for a, b in K.pieces(off):
+    for a, b in K.pieces(off, 1 << 18):
         lo, part, o = int(off[a]), buf[off[a] : off[b]], off[a : b + 1] - off[a]
         n = len(part)
         if n < MATCH:
@@ -68,16 +70,15 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         if width < SPAN:
             low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
         at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # the anchor of the string at each position
-        starts, so = K.window_starts(o, MATCH)
-        if not len(starts):
-            continue
-        at = at[starts]
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1]
-        new[so[:-1][so[:-1] < len(at)]] = True
-        i = np.flatnonzero(new)
-        j = np.concatenate((i[1:], [len(at)])) - 1
-        out.append((at[i] + lo, np.searchsorted(o, at[i], "right") - 1 + a, starts[i] + lo, starts[j] + lo, h[at[i]]))
+        ok = np.ones(len(at) + 1, bool)
+        for x, y in zip(o[:-1].tolist(), o[1:].tolist()):
+            ok[max(x, y - MATCH + 1) : y] = False
+        ok[-1] = False
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = at[1:] != at[:-1]
+        i = np.flatnonzero(ok[:-1] & (new[:-1] | ~np.concatenate(([False], ok[:-2]))))
+        j = np.flatnonzero(ok[:-1] & (new[1:] | ~ok[1:]))
+        out.append((at[i] + lo, np.searchsorted(o, at[i], "right") - 1 + a, i + lo, j + lo, h[at[i]]))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros(0, np.uint64)
@@ -111,7 +112,6 @@ class Run:
 
     def __init__(self, lcp: np.ndarray, rest: np.ndarray, docs: np.ndarray):
         self.lcp, self.docs, self.rest = lcp.tolist(), docs.tolist(), rest.tobytes()
-        self.mask = np.zeros(len(lcp), np.uint32)
         self.i, self.at, self.key = -1, 0, b""
 
     def step(self) -> int:
@@ -180,57 +180,70 @@ def merged(runs: list[Run]) -> Iterator[tuple[bytes, int, Run, int]]:
             i //= 2
 
 
-def judge(group: list[tuple[bytes, list[tuple[Run, int]], int]]) -> None:
-    """Masks for the keys of one gram: bit o for the string that starts o bytes before the anchor and is in a smaller document."""
-    if len(group) == 1:
-        (_, entries, least) = group[0]
-        for run, i in entries:
-            if run.docs[i] > least:
-                run.mask[i] = (1 << SPAN) - 1
-        return
-    bits = [0] * len(group)
-    masks: dict[tuple[int, int], int] = {}
-    for o in range(SPAN):
-        first: dict[bytes, int] = {}
-        at = []
-        for key, _, least in group:
-            if key[-1] >= o and key[-2] >= MATCH - o:
-                s = key[MATCH + BEFORE - o : MATCH + BEFORE] + key[: MATCH - o]
-                if first.get(s, LAST) >= least:
-                    first[s] = least
-                at.append(s)
-            else:
-                at.append(None)
-        for g, (s, (_, entries, least)) in enumerate(zip(at, group)):
-            if s is not None:
-                m = first[s]
-                for e, (run, i) in enumerate(entries):
-                    if run.docs[i] > m:
-                        masks[g, e] = masks.get((g, e), 0) | 1 << o
-    for (g, e), mask in masks.items():
-        run, i = group[g][1][e]
-        run.mask[i] = mask
-
-
-def judge_all(runs: list[Run]) -> None:
-    group: list = []
-    for key, h, run, i in merged(runs):
-        if h < GRAM and group:
-            judge(group)
-            group = []
-        if h == KEY and group:
-            last = group[-1]
-            last[1].append((run, i))
-            group[-1] = (last[0], last[1], min(last[2], run.docs[i]))
-        else:
-            group.append((key, [(run, i)], run.docs[i]))
-    if group:
-        judge(group)
+class Judge:
+    """Takes merged keys and finds, for each run's entry, its strings that are in a smaller document.
+
+    Keys of one gram arrive together.  Some 50,000 distinct keys are judged at a time: for each
+    place of the anchor the strings are grouped, and each group's least document is compared with
+    the entries' own.  The answer's bit o stands for the string that starts o bytes before the anchor.
+    """
+
+    MOST = 50_000
+
+    def __init__(self, runs: list[Run]):
+        self.base = np.concatenate(([0], np.cumsum([len(r.lcp) for r in runs]))).astype(np.int64)
+        self.docs = np.array([d for r in runs for d in r.docs], np.int64)
+        self.mask = np.zeros(self.base[-1], np.uint32)
+        first = {id(r): int(x) for r, x in zip(runs, self.base)}
+        keys, entry, of = [], [], []
+        for key, h, run, i in merged(runs):
+            if h < KEY or not keys:
+                if h < GRAM and len(keys) >= self.MOST:
+                    self.flush(keys, entry, of)
+                    keys, entry, of = [], [], []
+                keys.append(key)
+            entry.append(first[id(run)] + i)
+            of.append(len(keys) - 1)
+        if keys:
+            self.flush(keys, entry, of)
+
+    def flush(self, keys: list[bytes], entry: list[int], of: list[int]) -> None:
+        rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+        entry, of = np.array(entry), np.array(of)
+        docs = self.docs[entry]
+        least = np.minimum.reduceat(docs, np.flatnonzero(np.diff(of, prepend=-1)))
+        power, inverse = K.powers(KEY)
+        line = np.concatenate((rows[:, MATCH : MATCH + BEFORE], rows[:, :MATCH]), 1)
+        pre = np.zeros((len(rows), BEFORE + MATCH + 1), np.uint64)
+        np.cumsum(K.BYTE[line] * power[: BEFORE + MATCH], axis=1, out=pre[:, 1:])
+        mask = np.zeros(len(entry), np.uint32)
+        for o in range(SPAN):
+            s = BEFORE - o
+            h = K.mix((pre[:, s + MATCH] - pre[:, s]) * inverse[s])
+            there = (rows[:, -1] >= o) & (rows[:, -2] >= MATCH - o)
+            h = h[there]
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            first = np.minimum.reduceat(least[there][order], start)
+            found = np.empty(len(h), np.int64)
+            found[order] = np.repeat(first, np.diff(np.concatenate((start, [len(h)]))))
+            of_key = np.full(len(rows), LAST)
+            of_key[there] = found
+            mask |= (docs > of_key[of]).astype(np.uint32) << np.uint32(o)
+        self.mask[entry] = mask
+
+
+def judge_all(runs: list[Run]) -> list[np.ndarray]:
+    """A mask for each entry of each run."""
+    judge = Judge(runs)
+    return np.split(judge.mask, judge.base[1:-1])
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, end>> (maximal removed runs), kept binary."""
-    packed = B.pack(docs, doc_id, text)
+    packed = B.pack(docs, doc_id, text, BLOCK_BYTES)
     n, bits = B.ranges(packed), B.key_bits(packed)
     cut = np.uint64(64 - bits)
 
@@ -248,14 +261,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         several = np.maximum.reduceat(of, start) != np.minimum.reduceat(of, start) if len(keys) else np.zeros(0, bool)
         return keys, several
 
-    def several_docs(runs):
-        keys = np.concatenate([x for x, _ in runs])
-        flags = np.concatenate([np.frombuffer(B.unzipped(v), bool) for _, v in runs])
-        uniq, group, count = np.unique(keys, return_inverse=True, return_counts=True)
-        hit = ((count > 1) | (np.bincount(group, flags, len(uniq)) > 0))[group]
-        return np.split(hit, np.cumsum([len(x) for x, _ in runs])[:-1])
-
-    shared = written(B.answer(B.send(packed, n, bits, keys_of), several_docs), "none")
+    shared = written(B.answer(B.send(packed, n, bits, keys_of), B.in_several), "none")
 
     def runs_of(ids, null, texts, hit):
         """For each range: its sorted distinct keys with their least documents; and the anchors that are in question."""
@@ -295,8 +301,7 @@ def _merge_and_cut(packed: DataFrame, shared: DataFrame, runs_of) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         read = lambda c, kind: [np.frombuffer(B.unzipped(x), kind) for x in pdf[c]]
         got = [Run(*x) for x in zip(read("lcp", np.uint8), read("rest", np.uint8), read("least", np.int64))]
-        judge_all(got)
-        return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "answer": [B.zipped(r.mask.tobytes()) for r in got]})
+        return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "answer": [B.zipped(m.tobytes()) for m in judge_all(got)]})
 
     masks = runs.groupBy("range").applyInPandas(merge, "block long, range int, answer binary")
     tagged = shared.selectExpr("block", "0 as kind", "range", "answer").union(masks.selectExpr("block", "1 as kind", "range", "answer"))
