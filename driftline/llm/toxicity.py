@@ -31,7 +31,7 @@ SAMPLE = 24_000
 #: At most so many learned words, each in so many toxic texts of its part.
 LEARNED, LEAST_TEXTS = 400, 4
 THRESHOLD = 0.3
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.1, 32, 20
+TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.1, 32, 5
 
 #: Common insults, and second-person words.
 INSULTS = "idiot moron stupid scum clown pathetic worthless trash garbage loser dumb disgusting filth vermin imbecile fool hate ugly pig crap bastard idiote imbecile debile abruti ordure dumm depp trottel abschaum estupido imbecil basura escoria tonto".split()
@@ -60,9 +60,35 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.sort(K.span_hash(K.prefix(buf, K.FOLDED), off[:-1], off[1:]))
 
 
+#: Learned lexicon entries are words, or beginnings of words of so many bytes.
+STEMS = (4, 6, 8)
+
+
+def units(pre: np.ndarray, st: np.ndarray, en: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices of words, hashes): whole words, and beginnings of longer ones."""
+    out = [(np.arange(len(h)), h)]
+    for n in STEMS:
+        i = np.flatnonzero(en - st > n)
+        out.append((i, K.span_hash(pre, st[i], st[i] + n) ^ K.COEF[n]))
+    return out
+
+
+def weigh(parts: list[tuple[np.ndarray, np.ndarray]], n: int, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The largest learned weight of each word's units, 0 without any."""
+    out = np.zeros(n)
+    if len(learned):
+        for i, h in parts:
+            at = member(h, learned)
+            hit = at >= 0
+            out[i[hit]] = np.maximum(out[i[hit]], weights[at[hit]])
+    return out
+
+
 def plain(part: np.ndarray, o: np.ndarray):
     st, en, wo = K.words(part, o, K.ALNUM)
-    return K.span_hash(K.prefix(part, K.FOLDED), st, en), st, en, wo
+    pre = K.prefix(part, K.FOLDED)
+    h = K.span_hash(pre, st, en)
+    return h, st, en, wo, units(pre, st, en, h)
 
 
 def normalised(part: np.ndarray, o: np.ndarray):
@@ -72,7 +98,9 @@ def normalised(part: np.ndarray, o: np.ndarray):
     places = np.concatenate(([0], np.cumsum(keep)))
     buf, off = table_[keep], places[o]
     st, en, wo = K.words(buf, off, K.SPACED)
-    return K.span_hash(K.prefix(buf, K.FOLDED), st, en), wo
+    pre = K.prefix(buf, K.FOLDED)
+    h = K.span_hash(pre, st, en)
+    return h, wo, units(pre, st, en, h)
 
 
 def member(h: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -92,16 +120,14 @@ def features(column: pa.Array, learned: np.ndarray, weights: np.ndarray) -> np.n
     out = np.zeros((len(off) - 1, FEATURES))
     for a, b in K.pieces(off):
         part, o = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-        h, st, en, wo = plain(part, o)
-        g, go = normalised(part, o)
+        h, st, en, wo, hu = plain(part, o)
+        g, go, gu = normalised(part, o)
         per = lambda x, at: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=float)))[at])
         words, size = np.maximum(1, np.diff(wo)), np.maximum(1, np.diff(o))
         gwords = np.maximum(1, np.diff(go))
-        fixed, known = member(h, _FIXED) >= 0, member(h, learned)
-        nfixed, nknown = member(g, _FIXED) >= 0, member(g, learned)
-        w = np.where(known >= 0, weights[known], 0.0) if len(weights) else np.zeros(len(h))
-        nw = np.where(nknown >= 0, weights[nknown], 0.0) if len(weights) else np.zeros(len(g))
-        bad = fixed | (known >= 0)
+        fixed, nfixed = member(h, _FIXED) >= 0, member(g, _FIXED) >= 0
+        w, nw = weigh(hu, len(h), learned, weights), weigh(gu, len(g), learned, weights)
+        bad = fixed | (w > 0)
         second = member(h, _SECOND) >= 0
         # distance in words from each bad word to the next second-person word of its text
         near = np.full(len(h), FAR)
@@ -127,7 +153,7 @@ def features(column: pa.Array, learned: np.ndarray, weights: np.ndarray) -> np.n
         f[:, 2], f[:, 3] = nhits / gwords, np.log1p(nhits)
         f[:, 4], f[:, 5] = per(w, wo) / words, np.log1p(per(w, wo))
         f[:, 6], f[:, 7] = per(nw, go) / gwords, np.log1p(per(nw, go))
-        f[:, 8] = np.maximum(0, nhits + per(nknown >= 0, go) - hits - per(known >= 0, wo))
+        f[:, 8] = np.maximum(0, nhits + per(nw > 0, go) - hits - per(w > 0, wo))
         f[:, 9] = per(second, wo) / words
         f[:, 10] = per(near <= NEAR, wo)
         f[:, 11] = per(np.where(bad, 1.0 / (1 + near), 0), wo) / words
@@ -222,8 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             buf, off = K.texts(batch.column("text"))
             for a, b in K.pieces(off):
-                g, go = normalised(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                uniq = [np.unique(g[go[d] : go[d + 1]]) for d in range(b - a)]
+                _, go, parts = normalised(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                cut = [np.searchsorted(i, go) for i, _ in parts]
+                uniq = [np.unique(np.concatenate([h[c[d] : c[d + 1]] for (_, h), c in zip(parts, cut)])) for d in range(b - a)]
                 h, inv = np.unique(np.concatenate(uniq), return_inverse=True)
                 n = np.bincount(inv, minlength=len(h))
                 t = np.bincount(inv, np.repeat(toxic[a:b], [len(u) for u in uniq]), len(h))
