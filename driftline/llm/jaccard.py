@@ -22,8 +22,8 @@ is alone; an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from math import ceil, log2
+from bisect import bisect_left, insort
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,10 @@ SHINGLE, PERCENT = 5, 75
 GROUP_BYTES = 64 << 20
 #: DivideSkip's weight of a binary probe against a step of the merge.
 PROBE = 0.0085
+#: Bytes of text in a block: all its sets are held at once.
+BLOCK_BYTES = 4 << 20
+#: Classes from this size on have an index of their own.
+LARGE = 16
 
 
 def least(n: int, percent: int = PERCENT) -> int:
@@ -49,17 +53,32 @@ def least(n: int, percent: int = PERCENT) -> int:
 
 
 class Index:
-    """Inverted lists of a class's sets, ids ascending."""
+    """Inverted lists of sets, ids ascending."""
 
     def __init__(self):
         self.lists: dict[int, list[int]] = {}
         self.ids: list[int] = []
 
     def add(self, i: int, tokens: list[int]) -> None:
+        """Adds a set with the largest id so far."""
         self.ids.append(i)
         for t in tokens:
             self.lists.setdefault(t, []).append(i)
 
+    def insert(self, i: int, tokens: list[int]) -> None:
+        insort(self.ids, i)
+        for t in tokens:
+            insort(self.lists.setdefault(t, []), i)
+
+    def remove(self, i: int, tokens: list[int]) -> None:
+        del self.ids[bisect_left(self.ids, i)]
+        for t in tokens:
+            l = self.lists[t]
+            if len(l) == 1:
+                del self.lists[t]
+            else:
+                del l[bisect_left(l, i)]
+
     def take(self, other: Index) -> None:
         self.ids = list(heapq.merge(self.ids, other.ids))
         for t, l in other.lists.items():
@@ -105,33 +124,58 @@ class Index:
 
 
 def classes(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """For each set the position of a set that stands for its class."""
+    """For each set the position of a set that stands for its class.
+
+    Sets of classes under LARGE share one index; a larger class has its own, which is left at the first link.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    found: dict[int, Index] = {}
-    root = list(range(len(sets)))
     sizes = [len(sets[i]) for i in order]
+    members: dict[int, list[int]] = {}
+    of = list(range(len(sets)))  # class of each, by rank in size
+    rest, large = Index(), {}
     for at, i in enumerate(order):
         tokens = sets[i].tolist()
-        n = len(tokens)
-        own = Index()
-        own.add(at, tokens)
-        name = at
-        for other in sorted(found, key=lambda c: -len(found[c].ids)):
-            index = found[other]
-            if 100 * sizes[index.ids[-1]] < percent * n:
-                continue
-            for j, o in index.search(tokens, least(n, percent)):
-                if 100 * o >= percent * (n + sizes[j] - o):
-                    big, little = (index, own) if len(index.ids) >= len(own.ids) else (own, index)
-                    big.take(little)
-                    own = big
-                    found.pop(other)
-                    name = min(name, other)
-                    break
-        found[name] = own
-    for c, index in found.items():
-        for at in index.ids:
-            root[order[at]] = order[c]
+        n, t = len(tokens), least(len(tokens), percent)
+        links = lambda j, o: 100 * o >= percent * (n + sizes[j] - o)  # noqa: E731, B023
+        linked = set()
+        for c, index in large.items():
+            if 100 * sizes[index.ids[-1]] >= percent * n and any(x in index.lists for x in tokens[: n - t + 1]):
+                if any(links(j, o) for j, o in index.search(tokens, t)):
+                    linked.add(c)
+        for j, o in rest.search(tokens, t):
+            if of[j] not in linked and links(j, o):
+                linked.add(of[j])
+        name = max(linked, key=lambda c: len(members[c]), default=at)
+        own = members.setdefault(name, [])
+        own.append(at)
+        of[at] = name
+        joined = [c for c in linked if c != name]
+        for c in joined:
+            for j in members[c]:
+                of[j] = name
+            own += members[c]
+        if name not in large and len(own) < LARGE:
+            rest.add(at, tokens)
+        else:
+            if name not in large:
+                large[name] = Index()
+                loose = [j for j in own if j != at]
+            else:
+                loose = [j for c in joined if c not in large for j in members[c]]
+            for c in joined:
+                if c in large:
+                    large[name].take(large.pop(c))
+                    loose = [j for j in loose if j not in set(members[c])]
+            for j in sorted(loose):
+                held = sets[order[j]].tolist()
+                rest.remove(j, held)
+                large[name].insert(j, held)
+            large[name].add(at, tokens)
+        for c in joined:
+            del members[c]
+    root = list(range(len(sets)))
+    for at, i in enumerate(order):
+        root[i] = order[of[at]]
     return root
 
 
@@ -155,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node binary (equal for equal sets), tokens binary (null for sets without a link), all rows."""
-    packed = B.pack(docs, doc_id, text)
+    packed = B.pack(docs, doc_id, text, BLOCK_BYTES)
     n, bits = B.ranges(packed), B.key_bits(packed)
     cut = np.uint64(64 - bits)
 
@@ -171,21 +215,6 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
         *_, keys, counts = of_block(texts)
         return keys, counts > 1
 
-    def merge(runs):
-        keys = np.concatenate([x for x, _ in runs])
-        flags = np.concatenate([np.frombuffer(B.unzipped(v), bool) for _, v in runs])
-        order = np.argsort(keys, kind="stable")
-        s = keys[order]
-        same = np.zeros(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        shared = np.empty(len(s), bool)
-        # a key that several runs have, or that several of a block's sets have
-        group = np.cumsum(~same[:-1]) - 1
-        several = np.bincount(group) > 1
-        several |= np.bincount(group, flags[order]) > 0
-        shared[order] = several[group]
-        return np.split(shared, np.cumsum([len(x) for x, _ in runs])[:-1])
-
     def use(ids, null, texts, shared):
         sets, nodes, first, keys, _ = of_block(texts)
         tokens = []
@@ -194,7 +223,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
             tokens.append(s.tobytes() if linked else None)
         return pd.DataFrame({"doc_id": B.joined(ids, null), "n_shingles": [len(s) for s in sets], "node": nodes, "tokens": tokens})
 
-    return written(B.back(packed, B.answer(B.send(packed, n, bits, keys_of), merge), bool, use, "doc_id long, n_shingles long, node binary, tokens binary"))
+    return written(B.back(packed, B.answer(B.send(packed, n, bits, keys_of), B.in_several), bool, use, "doc_id long, n_shingles long, node binary, tokens binary"))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -218,9 +247,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     roots = tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b <> z").select("token", "b")
     near = components(tokens.join(roots, "token").select(F.col("id").alias("a"), "b"))
     near = near.union(near.select(F.col("root").alias("id"), "root").distinct())
-    members = written(sets.join(near, "id").select("id", "root", "tokens"), "lz4")
-    parts = members.groupBy("root").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(GROUP_BYTES)).cast("int").alias("parts"))
-    pairs = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # parts of each component from the sets' sizes; the sets themselves are shuffled once
+    sizes = written(sets.select("id", F.length("tokens").alias("size")).join(near, "id"))
+    parts = sizes.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(GROUP_BYTES)).cast("int").alias("parts"))
+    dealt = written(sizes.join(parts, "root").select("id", "root", "parts"))
+    pairs = sets.select("id", "tokens").join(dealt, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
     pairs = pairs.withColumn("other", F.explode(other)).select("id", "root", "tokens", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
