@@ -37,8 +37,8 @@ from . import kernels as K
 from .common import table, written
 
 SHINGLE, PERCENT = 5, 75
-#: A component of sets beyond this is dealt to several tasks.
-GROUP_BYTES = 64 << 20
+#: A component of sets beyond this is dealt to several tasks; lists of Python integers take some twenty times as much.
+GROUP_BYTES = 8 << 20
 #: DivideSkip's weight of a binary probe against a step of the merge.
 PROBE = 0.0085
 #: Bytes of text in a block: all its sets are held at once.

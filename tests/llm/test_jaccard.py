@@ -64,3 +64,12 @@ def test_cases(spark):
     assert got == {(5, 3), (3, 3), (9, 3), (None, 3), (1, 1), (2, 2), (4, 4), (7, 7), (8, 7), (11, 11)}
     assert J.link(df).count() == len(rows)
     assert J.link(df.limit(0)).count() == 0
+
+
+def test_parts(spark, monkeypatch):
+    """A component dealt to pairs of parts gives the same classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole = sorted(map(tuple, J.link(docs).collect()))
+    monkeypatch.setattr(J, "GROUP_BYTES", 1500)
+    assert sorted(map(tuple, J.link(docs).collect())) == whole
+    assert any(c != d for d, _, c in whole)
