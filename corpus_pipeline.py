@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The last stage's token ids are beyond SQL; tests/llm holds each stage against brute force.
+#: The last stage's token ids are beyond SQL.
 ORACLE_SQL = None
