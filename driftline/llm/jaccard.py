@@ -3,10 +3,13 @@
 A text's set is its distinct 5-word shingles (fewer words: the whole sequence as one).
 Sets link when intersection / union >= 75 / 100; the result is the connected classes.
 
-1. Equal sets are one node.  Blocks exchange their distinct shingles; a text that shares
-   less than three quarters of its shingles with others has no link and is done.
-2. Of the others, each set's smallest len - ceil(0.75 len) + 1 shingles are joined: sets
-   that link share at least one of these.  The components of that graph hold all links.
+1. Equal sets are one node.  Blocks exchange their distinct shingles and learn how frequent
+   each is; a text that shares less than three quarters of its shingles with others has no
+   link and is done.  Of the others, shingles that no other set has are left out of the
+   lists (the size keeps them), and the rest is ordered by frequency, rarest first.
+2. Each set's rarest len - ceil(0.75 len) + 1 shingles are joined: sets that link share at
+   least one of these.  The components of that graph hold all links, and a passage that
+   many different documents share does not join them.
 3. In each component, sets are taken by size and searched in an inverted index of the
    classes found so far: with T the least overlap, the longest lists are put aside, the
    short ones are merged with a heap that skips ahead, and candidates are probed in the
@@ -37,8 +40,8 @@ from . import kernels as K
 from .common import table, written
 
 SHINGLE, PERCENT = 5, 75
-#: A component of sets beyond this is dealt to several tasks; lists of Python integers take some twenty times as much.
-GROUP_BYTES = 8 << 20
+#: A component of sets beyond this is dealt to several tasks; its inverted lists take some five times as much.
+GROUP_BYTES = 32 << 20
 #: DivideSkip's weight of a binary probe against a step of the merge.
 PROBE = 0.0085
 #: Bytes of text in a block: all its sets are held at once.
@@ -123,23 +126,38 @@ class Index:
                     heapq.heappush(heap, (l[at], k, at))
 
 
-def classes(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+def compact(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets with small numbers for tokens, without those that one set alone has; each set's order stays."""
+    if not sets:
+        return []
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1).astype(np.int32)[of]
+    ends = np.cumsum([len(s) for s in sets])
+    return [x[x >= 0] for x in np.split(number, ends[:-1])]
+
+
+def classes(sets: list[np.ndarray], percent: int = PERCENT, count: list[int] | None = None) -> list[int]:
     """For each set the position of a set that stands for its class.
 
+    `count` gives the sets' sizes, if tokens that no other set has are left out of them.
     Sets of classes under LARGE share one index; a larger class has its own, which is left at the first link.
     """
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = [len(sets[i]) for i in order]
+    count = [len(s) for s in sets] if count is None else count
+    sets = compact(sets)
+    order = sorted(range(len(sets)), key=lambda i: count[i])
+    sizes = [count[i] for i in order]
     members: dict[int, list[int]] = {}
     of = list(range(len(sets)))  # class of each, by rank in size
     rest, large = Index(), {}
     for at, i in enumerate(order):
         tokens = sets[i].tolist()
-        n, t = len(tokens), least(len(tokens), percent)
+        n, t = sizes[at], least(sizes[at], percent)
+        if len(tokens) < t:
+            continue
         links = lambda j, o: 100 * o >= percent * (n + sizes[j] - o)  # noqa: E731, B023
         linked = set()
         for c, index in large.items():
-            if 100 * sizes[index.ids[-1]] >= percent * n and any(x in index.lists for x in tokens[: n - t + 1]):
+            if 100 * sizes[index.ids[-1]] >= percent * n and any(x in index.lists for x in tokens[: len(tokens) - t + 1]):
                 if any(links(j, o) for j, o in index.search(tokens, t)):
                     linked.add(c)
         for j, o in rest.search(tokens, t):
@@ -197,8 +215,20 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def spread(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
+    """For each run's keys 0 if one set alone has the key, else a number that grows with how many have it."""
+    keys = np.concatenate([k for k, _ in runs])
+    counts = np.concatenate([np.frombuffer(B.unzipped(v), np.uint8) for _, v in runs])
+    _, of = np.unique(keys, return_inverse=True)
+    level = np.minimum(255, 8 * np.log2(np.bincount(of, counts, 1))).astype(np.uint8)[of]
+    return np.split(level, np.cumsum([len(k) for k, _ in runs])[:-1])
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node binary (equal for equal sets), tokens binary (null for sets without a link), all rows."""
+    """doc_id, n_shingles, node binary (equal for equal sets), tokens binary, all rows.
+
+    tokens: the shingles that others may have, rarest first; null for sets without a link.
+    """
     packed = B.pack(docs, doc_id, text, BLOCK_BYTES)
     n, bits = B.ranges(packed), B.key_bits(packed)
     cut = np.uint64(64 - bits)
@@ -213,37 +243,43 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
 
     def keys_of(ids, null, texts):
         *_, keys, counts = of_block(texts)
-        return keys, counts > 1
+        return keys, np.minimum(counts, 255).astype(np.uint8)
 
-    def use(ids, null, texts, shared):
+    def use(ids, null, texts, levels):
         sets, nodes, first, keys, _ = of_block(texts)
         tokens = []
         for i, s in enumerate(sets):
-            linked = first[nodes[i]] == i and len(s) and int(shared[np.searchsorted(keys, s >> cut)].sum()) >= least(len(s), percent)
-            tokens.append(s.tobytes() if linked else None)
+            linked = None
+            if first[nodes[i]] == i and len(s):
+                level = levels[np.searchsorted(keys, s >> cut)]
+                at = np.flatnonzero(level)
+                if len(at) >= least(len(s), percent):
+                    linked = s[at[np.argsort(level[at], kind="stable")]].tobytes()
+            tokens.append(linked)
         return pd.DataFrame({"doc_id": B.joined(ids, null), "n_shingles": [len(s) for s in sets], "node": nodes, "tokens": tokens})
 
-    return written(B.back(packed, B.answer(B.send(packed, n, bits, keys_of), B.in_several), bool, use, "doc_id long, n_shingles long, node binary, tokens binary"))
+    return written(B.back(packed, B.answer(B.send(packed, n, bits, keys_of), spread), np.uint8, use, "doc_id long, n_shingles long, node binary, tokens binary"))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     rows = _sets(docs, doc_id, text, k, percent)
     # a row for each set that may link, with a short id
-    sets = written(rows.where("tokens is not null").groupBy("node").agg(F.first("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()), "lz4")
+    sets = rows.where("tokens is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "lz4")
 
     def prefixes(batches):
         for batch in batches:
             ids, out = [], []
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("tokens")):
+            for i, n, t in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens")):
                 s = np.frombuffer(t.as_buffer(), np.uint64)
-                s = s[: len(s) - least(len(s), percent) + 1]
+                s = s[: len(s) - least(n, percent) + 1]
                 ids.append(np.full(len(s), i))
                 out.append(s.view(np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["id", "token"])
 
-    tokens = sets.select("id", "tokens").mapInArrow(prefixes, "id long, token long")
+    tokens = sets.select("id", "n", "tokens").mapInArrow(prefixes, "id long, token long")
     roots = tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b <> z").select("token", "b")
     near = components(tokens.join(roots, "token").select(F.col("id").alias("a"), "b"))
     near = near.union(near.select(F.col("root").alias("id"), "root").distinct())
@@ -251,17 +287,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     sizes = written(sets.select("id", F.length("tokens").alias("size")).join(near, "id"))
     parts = sizes.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(GROUP_BYTES)).cast("int").alias("parts"))
     dealt = written(sizes.join(parts, "root").select("id", "root", "parts"))
-    pairs = sets.select("id", "tokens").join(dealt, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pairs = sets.select("id", "n", "tokens").join(dealt, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
-    pairs = pairs.withColumn("other", F.explode(other)).select("id", "root", "tokens", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    pairs = pairs.withColumn("other", F.explode(other)).select("id", "root", "n", "tokens", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        of = classes([np.frombuffer(t, np.uint64) for t in pdf["tokens"]], percent)
-        return pd.DataFrame({"a": ids, "b": ids[of]})
+    def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids = group.column("id").to_numpy()
+        of = classes([np.frombuffer(t.as_buffer(), np.uint64) for t in group.column("tokens")], percent, group.column("n").to_pylist())
+        return pa.table({"a": ids, "b": ids[of]})
 
-    linked = written(pairs.groupBy("root", "p", "q").applyInPandas(verify, "a long, b long").where("a <> b"))
+    linked = written(pairs.groupBy("root", "p", "q").applyInArrow(verify, "a long, b long").where("a <> b"))
     final = components(linked)
     final = final.union(final.select(F.col("root").alias("id"), "root").distinct())
     heads = sets.select("id", "node").join(final, "id").select("node", "root")

@@ -70,6 +70,29 @@ def test_parts(spark, monkeypatch):
     """A component dealt to pairs of parts gives the same classes."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     whole = sorted(map(tuple, J.link(docs).collect()))
-    monkeypatch.setattr(J, "GROUP_BYTES", 1500)
+    monkeypatch.setattr(J, "GROUP_BYTES", 1200)
     assert sorted(map(tuple, J.link(docs).collect())) == whole
     assert any(c != d for d, _, c in whole)
+
+
+def test_classes_without_single_tokens():
+    """Sizes stand for tokens left out, and the order of tokens does not matter."""
+    r = random.Random(3)
+    for seed in range(40):
+        base = [r.randrange(1 << 40) for _ in range(r.randrange(4, 40))]
+        sets = [np.unique(np.array([x for x in base if r.random() > 0.1] + [r.randrange(1 << 40) for _ in range(r.randrange(6))], np.uint64)) for _ in range(25)]
+        count = {}
+        for s in sets:
+            for x in s.tolist():
+                count[x] = count.get(x, 0) + 1
+        kept = [np.array(sorted((x for x in s.tolist() if count[x] > 1), key=lambda x: (count[x], x)), np.uint64) for s in sets]
+        groups = {}
+        for i, c in enumerate(J.classes(kept, count=[len(s) for s in sets])):
+            groups.setdefault(c, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == brute(sets), seed
+
+
+def test_spread():
+    runs = [(np.array([1, 5], np.uint64), J.B.zipped(bytes([1, 2]))), (np.array([5, 9], np.uint64), J.B.zipped(bytes([1, 1])))]
+    a, b = J.spread(runs)
+    assert a[0] == b[1] == 0 and a[1] == b[0] > 0
