@@ -13,9 +13,10 @@ Sets link when intersection / union >= 75 / 100; the result is the connected cla
 3. In each component, sets are taken by size and searched in an inverted index of the
    classes found so far: with T the least overlap, the longest lists are put aside, the
    short ones are merged with a heap that skips ahead, and candidates are probed in the
-   long ones by binary search.  A class is left at its first link, so a group of
-   thousands of near copies costs each member about one search.  Components of more
-   than GROUP_BYTES are dealt to pairs of parts, so that a task's memory is bounded.
+   long ones by binary search.  As ids follow sizes, T grows with the candidates' size.
+   A class is left at its first link, so a group of thousands of near copies costs each
+   member about one search.  Components of more than GROUP_BYTES are dealt to pairs of
+   parts, so that a task's memory is bounded.
 
 Defined cases: null and empty texts, and texts without words, have empty sets and are
 their own classes; repeated rows are copies; a null id never is a class's id unless it
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from math import log2
 
 import numpy as np
@@ -88,20 +90,32 @@ class Index:
             own = self.lists.get(t)
             self.lists[t] = list(heapq.merge(own, l)) if own else l
 
-    def search(self, tokens: list[int], t: int):
-        """(id, overlap) of sets that share at least t tokens, by DivideSkip."""
-        lists = [l for x in tokens if (l := self.lists.get(x))]
+    def search(self, tokens: list[int], t: int, rising: Callable[[int], int] | None = None, lo: int = 0):
+        """(id, overlap) of sets, from id lo on, that share at least t tokens, by DivideSkip.
+
+        rising(id), if given, is the least overlap with that set; it doesn't fall as ids
+        grow, so the threshold rises while the merge goes on.
+        """
+        start = bisect_left(self.ids, lo)
+        if start == len(self.ids):
+            return
+        if rising:
+            t = rising(self.ids[start])
+        lists = [l for x in tokens if (l := self.lists.get(x)) and l[-1] >= lo]
         if len(lists) < t:
             return
         lists.sort(key=len)
-        longest = len(lists[-1])
-        aside = min(t - 1, int(t / (PROBE * log2(longest + 1) + 1)))
+        aside = min(t - 1, int(t / (PROBE * log2(len(lists[-1]) + 1) + 1)))
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        need = t - aside
-        heap = [(l[0], k, 0) for k, l in enumerate(short)]
+        heap = [(l[at], k, at) for k, l in enumerate(short) if (at := bisect_left(l, lo)) < len(l)]
         heapq.heapify(heap)
-        while len(heap) >= need:
+        while heap:
             top, same = heap[0][0], []
+            if rising:
+                t = rising(top)
+            need = t - aside
+            if len(heap) < need:
+                return
             while heap and heap[0][0] == top:
                 same.append(heapq.heappop(heap))
             if len(same) >= need:
@@ -154,15 +168,15 @@ def classes(sets: list[np.ndarray], percent: int = PERCENT, count: list[int] | N
         n, t = sizes[at], least(sizes[at], percent)
         if len(tokens) < t:
             continue
-        links = lambda j, o: 100 * o >= percent * (n + sizes[j] - o)  # noqa: E731, B023
+        # the least overlap at which sets of n and of sizes[j] link
+        rising = lambda j: -(-percent * (n + sizes[j]) // (100 + percent))  # noqa: E731, B023
+        lo = bisect_left(sizes, t)
         linked = set()
         for c, index in large.items():
             if 100 * sizes[index.ids[-1]] >= percent * n and any(x in index.lists for x in tokens[: len(tokens) - t + 1]):
-                if any(links(j, o) for j, o in index.search(tokens, t)):
+                if next(index.search(tokens, t, rising, lo), None) is not None:
                     linked.add(c)
-        for j, o in rest.search(tokens, t):
-            if of[j] not in linked and links(j, o):
-                linked.add(of[j])
+        linked.update(of[j] for j, _ in rest.search(tokens, t, rising, lo))
         name = max(linked, key=lambda c: len(members[c]), default=at)
         own = members.setdefault(name, [])
         own.append(at)

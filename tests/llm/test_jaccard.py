@@ -56,6 +56,20 @@ def test_search():
             assert list(index.search(q, t)) == want
 
 
+def test_search_rising():
+    """A threshold that rises with the id, from some id on."""
+    r = random.Random(4)
+    for _ in range(200):
+        index, sets = J.Index(), sorted((sorted(r.sample(range(40), r.randrange(1, 30))) for _ in range(20)), key=len)
+        for i, s in enumerate(sets):
+            index.add(i, s)
+        q = sorted(r.sample(range(40), r.randrange(1, 30)))
+        lo = r.randrange(21)
+        rising = lambda i: -(-3 * (len(q) + len(sets[i])) // 7)  # noqa: E731, B023
+        want = [(i, o) for i, s in enumerate(sets) if i >= lo and (o := len(set(s) & set(q))) >= rising(i)]
+        assert list(index.search(q, 1, rising, lo)) == want
+
+
 def test_cases(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(5, long), (3, long.upper()), (9, long + " x"), (None, long), (1, None), (2, ""), (4, " \n"), (7, "a b"), (8, "A  b"), (7, "a b"), (11, "other words are here today now")]
