@@ -31,7 +31,9 @@ from .common import table
 #: Pieces up to this many bytes are merged as a leaf.
 LEAF = 24
 #: Encodings of at most so many pieces are kept by each worker.
-CACHED = 1 << 19
+CACHED = 1 << 17
+#: Rows go out when their ids are so many tokens together.
+HELD = 1 << 18
 #: Tokens that decode as one leaf.
 DECODE_LEAF = 1 << 14
 
@@ -171,16 +173,18 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def run(batches):
         enc = encoder(path, pattern)
         digits = list(map(str, range(len(enc.bpe.bytes_of))))
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 3 + ids]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids]
         for batch in batches:
-            rows = []
-            for value in batch.column("text"):
+            rows, first, held = [], 0, 0
+            for at, value in enumerate(batch.column("text"), 1):
                 tokens = enc.encode(value.as_py())
                 listed = ",".join(map(digits.__getitem__, tokens)).encode()
                 rows.append((len(tokens), hashlib.sha256(listed).hexdigest(), hashlib.sha256(enc.decode(tokens)).hexdigest(), *([tokens] if ids else [])))
-            cols = list(zip(*rows)) or [()] * (3 + ids)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names[: 4 + ids])
+                held += len(tokens) if ids else 0
+                if held >= HELD or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+                    rows, first, held = [], at, 0
 
     kind = dict(src.dtypes)["doc_id"]
     return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
