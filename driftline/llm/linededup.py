@@ -76,6 +76,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of any line goes, whatever stands around it: the shortest run is one line."""
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run=1)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Of op7_line_dedup; op7_single_lines has none.
 SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 n AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS held FROM l),
