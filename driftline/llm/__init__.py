@@ -19,6 +19,7 @@ _QUERIES = [
     (decontaminate.op8_decontaminate, decontaminate.SQL),
     (lm.op9_lm_scores, lm.SQL),
     (licenses.op10_license_scan, licenses.SQL),
+    (licenses.op10_license_scan_all, None),
 ]
 
 

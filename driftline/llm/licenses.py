@@ -40,6 +40,31 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
 
+CC = "This work is licensed under a Creative Commons Attribution"
+FSF = "as published by the Free Software Foundation"
+
+#: More notices; op10_license_scan_all looks for them too.  The headers hold only what the GPL's header doesn't mostly hold too.
+MORE = {
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-header": f"under the terms of the GNU Affero General Public License {FSF}",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-no-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-nc-4.0": f"{CC}-NonCommercial 4.0 International License.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0": f"{CC}-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0": f"{CC}-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0": f"{CC}-NoDerivatives 4.0 International License.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0": f"{CC}-ShareAlike 4.0 International License.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "lgpl-header": f"under the terms of the GNU Lesser General Public License {FSF}",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
 
 class Scanner:
     """Templates by window size, with their minima for each band."""
@@ -123,9 +148,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, matches array<struct<license:string,window:long,held:long,of:long>>")
 
 
-def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(matches: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_distinct("matches.license"))
-    return scan(table(spark, sf_dir, "documents")).select("doc_id", F.size("matches").cast("long").alias("n_windows"), F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
+    return matches.select("doc_id", F.size("matches").cast("long").alias("n_windows"), F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(scan(table(spark, sf_dir, "documents")))
+
+
+def op10_license_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lists of notices."""
+    return _named(scan(table(spark, sf_dir, "documents"), TEMPLATES | MORE))
 
 
 def _sql() -> str:
