@@ -209,11 +209,7 @@ for _b in density.BACKENDS:
 
 def _method(name):
     def run(spark, sf):
-        spec = [streams.synthetic(5, 24, 32, seed).assign(stream_id=f"seed{seed}") for seed in (1, 2)]
-        import pandas as pd
-
-        points = spark.createDataFrame(pd.concat(spec).assign(embedding=lambda d: d["embedding"].map(lambda v: v.tolist())), "seq long, embedding array<float>, label long, stream_id string")
-        return methods.replay(points, [name], methods.Config(cap=40, tradeoff_warmup=20, checkpoint=40)).where("last").select("stream_id", "seq", "label", "pred", "recompute_count", "distance_comparisons", "cheap_update_count", "uncertainty_count")
+        return methods.replay(_points(spark, sf), [name]).where("last").select("stream_id", "seq", "label", "pred", "recompute_count", "distance_comparisons", "cheap_update_count", "uncertainty_count")
 
     run.__name__ = f"method_{name}"
     return run
