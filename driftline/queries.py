@@ -115,6 +115,13 @@ def noise_reinsertion(spark, sf):
     return near.select("seq", F.when(F.round("best", 6) <= F.round(1.02 * F.col("spread"), 6), F.col("nearest")).otherwise(-1).alias("label"))
 
 
+@query()
+def noise_reinsertion_all(spark, sf):
+    """Every point is judged, at the operator's own factor."""
+    p = _points(spark, sf)
+    return neighbours.reinsert_noise(p, p)
+
+
 @query("SELECT label, i, j, similarity FROM (SELECT li AS label, i, j, round(dot, 6) AS similarity, row_number() OVER (PARTITION BY li ORDER BY round(dot, 6) DESC, i, j) AS r FROM pairs WHERE li = lj) WHERE r = 1")
 def best_pair_per_label(spark, sf):
     return neighbours.best_pair(_points(spark, sf))
