@@ -5,8 +5,9 @@ the training texts counts the windows' terms; each window then has a rarest and
 rarest term.  A second pass stores the postings (document, position) of these terms
 only.  The lists of a window's two terms, each less its offset in the window, are
 intersected; what remains is the start of a match in all likelihood, and the third pass
-compares the whole window with the text at that place.  Proximity matches are the same
-two lists intersected within `slop` words.
+compares the whole window with the text at that place.  Proximity matches intersect the
+same two lists by the distance of their positions, whatever the order, and compare all
+the windows of text around them.
 
 Benchmark terms are looked up in a hash set inside the scan while there are at most
 SET_TERMS of them, else by a join.  Tables that are broadcast are counted first.
@@ -62,8 +63,8 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text))).withColumn("_w", words(text))
 
 
-def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text", slop: int = 0) -> DataFrame:
-    """_key, _start, _ws, _items where the windows' two rarest terms stand at their offsets, up to `slop` words apart from them."""
+def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_key, _start, _ws, _items where the windows' two rarest terms stand at their offsets."""
     terms = windows.select(F.explode("_ws").alias("_term")).distinct()
     of = _keyed(docs, doc_id, text)
     df = written(_hits(of.select("_w"), terms, False).groupBy("_term").agg(F.count("*").alias("_n")))
@@ -76,8 +77,6 @@ def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text
     p = pick.drop("_win").distinct()  # windows with the same terms at the same offsets share one intersection
     one = postings.join(small(p), postings["_term"] == p["_t1"]).select("_key", (F.col("_pos") - F.col("_o1")).alias("_start"), "_t1", "_o1", "_t2", "_o2")
     two = postings.join(small(p.where("_t2 is not null")), postings["_term"] == p["_t2"]).select("_key", (F.col("_pos") - F.col("_o2")).alias("_start"), "_t1", "_o1", "_t2", "_o2")
-    if slop:
-        two = two.withColumn("_start", F.explode(F.sequence(F.col("_start") - slop, F.col("_start") + slop)))
     both = one.where("_t2 is not null").join(two, ["_key", "_start", "_t1", "_o1", "_t2", "_o2"], "left_semi").unionByName(one.where("_t2 is null")).where("_start >= 0").distinct()
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("_t1", "_o1", "_t2", "_o2")]
     on = same[0] & same[1] & same[2] & same[3]
@@ -98,11 +97,34 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, start, items: where all words of a window stand within the window's length and `slop` words around it, in any order."""
-    windows = written(windows_of(benchmark, window=window))
-    c = candidates(docs.select(doc_id, text), windows, doc_id, text, slop)
-    near = F.slice("_w", F.greatest(F.lit(1), F.col("_start") + 1 - slop), F.size("_ws") + 2 * slop)
-    return _keyed(docs, doc_id, text).join(c, "_key").where(F.size(F.array_except("_ws", near)) == 0).select(doc_id, F.col("_start").alias("start"), F.col("_items").alias("items")).distinct()
+    """doc_id, start, items: where all words of a window stand within the window's length and `slop` words around it, in any order.
+
+    A start is a place where that many words, or the whole of a shorter text, begin.  A word that the window repeats need stand once.
+    """
+    w = written(windows_of(benchmark, window=window).withColumn("_win", F.xxhash64("_ws")))
+    terms = w.select(F.explode("_ws").alias("_term")).distinct()
+    of = _keyed(docs.select(doc_id, text), doc_id, text)
+    df = written(_hits(of.select("_w"), terms, False).groupBy("_term").agg(F.count("*").alias("_n")))
+    # every window with its two rarest distinct terms; a window with a term that no text has can't occur
+    each = w.select("_win", F.size("_ws").alias("_len"), F.size(F.array_distinct("_ws")).alias("_of"), F.explode(F.array_distinct("_ws")).alias("_term"))
+    ranked = each.join(small(df), "_term").groupBy("_win", "_len", "_of").agg(F.array_sort(F.collect_list(F.struct("_n", "_term"))).alias("_r")).where(F.size("_r") == F.col("_of"))
+    one = F.col("_r")[0]["_term"]
+    pick = written(ranked.select("_win", "_len", one.alias("_t1"), F.coalesce(F.get("_r", F.lit(1))["_term"], one).alias("_t2")))
+    postings = written(_hits(of.select("_key", "_w"), pick.select(F.explode(F.array("_t1", "_t2")).alias("_term")).distinct(), True).distinct())
+    # positions less than `reach` apart lie in the same stretch of `reach` words or in neighbouring ones
+    p = pick.select("_len", "_t1", "_t2").distinct().withColumn("_reach", F.col("_len") + 2 * slop)
+    stretch = F.floor(F.col("_pos") / F.col("_reach"))
+    a = postings.join(small(p), postings["_term"] == p["_t1"]).select("_key", "_len", "_t1", "_t2", "_reach", F.col("_pos").alias("_p1"), stretch.alias("_b"))
+    b = postings.join(small(p), postings["_term"] == p["_t2"]).select("_key", "_len", "_t1", "_t2", F.col("_pos").alias("_p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_b"))
+    both = a.join(b, ["_key", "_len", "_t1", "_t2", "_b"]).where(F.abs(F.col("_p1") - F.col("_p2")) < F.col("_reach"))
+    first = F.greatest(F.lit(0), F.greatest("_p1", "_p2") - F.col("_len") - (slop - 1))
+    starts = both.select("_key", "_len", "_t1", "_t2", F.explode(F.sequence(first, F.greatest(first, F.least("_p1", "_p2") + slop))).alias("_start")).distinct()
+    c = starts.join(small(pick), ["_len", "_t1", "_t2"]).select("_key", "_start", "_win").join(small(w), "_win")
+    last = F.greatest(F.lit(0), F.size("_w") - F.size("_ws"))
+    before = F.greatest(F.lit(0), F.col("_start") - slop)
+    near = F.slice("_w", before + 1, F.col("_start") + F.size("_ws") + slop - before)
+    hit = of.join(c, "_key").where(F.col("_start") <= last).where(F.size(F.array_except("_ws", near)) == 0)
+    return hit.select(doc_id, F.col("_start").alias("start"), F.col("_items").alias("items")).distinct()
 
 
 def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
