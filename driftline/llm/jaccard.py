@@ -324,9 +324,16 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that are not the least of their class."""
-    late = link(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(late, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all columns, with one row of each class: that of the least id, null ids last, then of the least text hash.
+
+    Rows are told apart by a number of their own, so ids may be null or repeat; a text without shingles is no copy.
+    """
+    held = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    of = link(held.select("_row", "text"), "_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row")
+    kept = of.join(held.select("_row", order.alias("_order")), "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+    late = of.join(kept, "_row", "left_anti").select("_row")
+    return held.join(late, "_row", "left_anti").select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
