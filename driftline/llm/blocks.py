@@ -6,7 +6,9 @@ Parquet table in the shared folder) sends one sorted, delta-coded run of its dis
 64-bit hashes to each hash range; the range merges its runs, and sends each block an
 answer for each of its hashes, in the run's order.  A frequent n-gram takes one entry of
 a block at most, so there is no hot range, and what a range holds is the corpus's
-distinct n-grams divided by the number of ranges, which follows the corpus's size.
+distinct n-grams divided by the number of ranges, which follows the corpus's size.  Blocks
+are bundled level by level where there are more than FAN ranges, so that the rows
+exchanged are FAN for each block and level, not one for each block and range.
 
 Blocks are rows, so a lost task is done again on the same documents.
 """
@@ -26,6 +28,8 @@ from .common import written
 #: Bytes of text in a block (one longer text makes a block of its own), and bytes of text for each hash range.
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
+#: Runs of a block, and of a bundle of blocks, on each level of the exchange.
+FAN = 128
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -77,10 +81,15 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return ids.fill_null(0).to_numpy(), null, col
 
 
-def ranges(blocks: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
-    """Number of hash ranges for the blocks' texts."""
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    return max(8, -(-total // range_bytes))
+def totals(blocks: DataFrame) -> tuple[int, int]:
+    """Numbers of blocks and of their texts' bytes."""
+    n, size = blocks.agg(F.count("*"), F.sum("bytes")).first()
+    return n, size or 0
+
+
+def ranges(size: int, range_bytes: int = RANGE_BYTES) -> int:
+    """Number of hash ranges for so many bytes of text; FAN at least, so that it is the same for all small corpora."""
+    return max(FAN, -(-size // range_bytes))
 
 
 def pack_keys(a: np.ndarray, more: bytes = b"") -> bytes:
@@ -126,69 +135,144 @@ def unzipped(data: bytes) -> bytes:
     return pa.decompress(data[8:], int(np.frombuffer(data, np.int64, 1)[0]), "zstd", asbytes=True)
 
 
-def key_bits(blocks: DataFrame) -> int:
+def key_bits(size: int) -> int:
     """Leading bits of a hash to keep as key: 48, or 16 more than it takes to number the corpus's bytes.
 
     Two of a corpus's n-grams then share a key with a chance of some 2**-17 for each n-gram at most.
     """
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    return min(64, max(48, int(total).bit_length() + 16))
+    return min(64, max(48, size.bit_length() + 16))
+
+
+def top_step(n: int) -> int:
+    """Ranges in a part of the first level: the largest power of FAN under n."""
+    step = 1
+    while step * FAN < n:
+        step *= FAN
+    return step
+
+
+def range_of(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The range of each key of so many bits (32 or more), of n equal ones: keys * n >> bits, in two halves."""
+    low = (keys & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)
+    return (((keys >> np.uint64(32)) * np.uint64(n) + low) >> np.uint64(bits - 32)).astype(np.int64)
+
+
+class Keys:
+    """Runs of sorted distinct keys of so many bits with a value for each, dealt to n hash ranges.
+
+    combine(keys, values) makes one run of several, judge(list of (keys, values)) gives an array
+    of `reply` for each run of a range, in the order of its keys.
+    """
+
+    def __init__(self, n: int, bits: int, value, reply, combine: Callable, judge: Callable):
+        self.n, self.bits, self.value, self.reply, self.combine, self.judge_keys = n, bits, value, reply, combine, judge
+
+    def split(self, keys: np.ndarray, values: np.ndarray, step: int):
+        """(part, run) of the keys' parts of `step` ranges."""
+        part = range_of(keys, self.n, self.bits) // step
+        c = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(keys)]
+        for x, y in zip(c, c[1:]):
+            yield int(part[x]), pack_keys(keys[x:y], zipped(values[x:y].astype(self.value).tobytes()))
+
+    def _read(self, runs):
+        got = [unpack_keys(x) for x in runs]
+        return [k for k, _ in got], [np.frombuffer(unzipped(v), self.value) for _, v in got]
 
+    def down(self, runs: list[bytes], step: int):
+        keys, values = self._read(runs)
+        return self.split(*self.combine(np.concatenate(keys), np.concatenate(values)), step)
 
-def cuts(keys: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
-    """Offsets of n equal hash ranges in sorted keys of so many bits."""
-    at = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, at), [len(keys)])).astype(np.int64)
+    def up(self, runs: list[bytes], answers: list[bytes], step: int) -> list[bytes]:
+        keys, _ = self._read(runs)
+        every = np.unique(np.concatenate(keys))
+        got = np.concatenate([np.frombuffer(unzipped(x), self.reply) for x in answers])
+        return [zipped(got[np.searchsorted(every, k)].tobytes()) for k in keys]
 
+    def judge(self, runs: list[bytes]) -> list[bytes]:
+        keys, values = self._read(runs)
+        return [zipped(np.ascontiguousarray(a, self.reply).tobytes()) for a in self.judge_keys(keys, values)]
 
-def send(blocks: DataFrame, n: int, bits: int, keys_of: Callable) -> DataFrame:
-    """range int, block long, run binary.  keys_of(ids, null, texts) gives sorted distinct keys and None or an array of a value for each."""
+
+def send(blocks: DataFrame, kind: Keys, keys_of: Callable) -> DataFrame:
+    """unit long, part int, run binary: each block's runs.  keys_of(ids, null, texts) gives sorted distinct keys and a value for each."""
+    step = top_step(kind.n)
 
     def run(batches):
         for batch in batches:
             for block, body in zip(batch.column("block"), batch.column("body")):
-                keys, values = keys_of(*unpack(body.as_buffer()))
-                c = cuts(keys, n, bits)
-                for i in range(n):
-                    if c[i] < c[i + 1]:
-                        s = slice(c[i], c[i + 1])
-                        data = pack_keys(keys[s], b"" if values is None else zipped(values[s].tobytes()))
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block.as_py()], pa.int64()), pa.array([data], pa.binary())], names=["range", "block", "run"])
+                for part, data in kind.split(*keys_of(*unpack(body.as_buffer())), step):
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["unit", "part", "run"])
+
+    return blocks.select("block", "body").mapInArrow(run, RUNS)
+
+
+RUNS = "unit long, part int, run binary"
+ANSWERS = "unit long, part int, answer binary"
 
-    return blocks.select("block", "body").mapInArrow(run, "range int, block long, run binary")
 
+def answer(runs: DataFrame, kind, units: int, step: int | None = None) -> DataFrame:
+    """unit, part, answer: an answer to each run of send.
+
+    Up to FAN ranges a part is a range and is judged at once.  Beyond, some FAN units of one part
+    are a bundle: `down` makes one run of theirs for each of its FAN smaller parts, these
+    are answered as runs of as many fewer units, and `up` takes the bundle's answers apart for
+    its units.  A unit has FAN runs at most on each level, so the rows of a level are
+    FAN x blocks and not ranges x blocks, at any size of the corpus.
+    """
+    step = top_step(kind.n) if step is None else step
+    if step == 1:
+
+        def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"unit": pdf["unit"], "part": pdf["part"], "answer": kind.judge(list(pdf["run"]))})
 
-def answer(runs: DataFrame, merge: Callable) -> DataFrame:
-    """block long, range int, answer binary.  merge(list of (keys, value bytes)) gives an array for each run, in its order."""
+        return runs.groupBy("part").applyInPandas(judge, ANSWERS)
+    bundles, below = -(-units // FAN), step // FAN
+    tagged = runs.withColumn("bundle", F.pmod(F.xxhash64("unit"), F.lit(max(1, bundles))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack_keys(x) for x in pdf["run"]]
-        out = [zipped(np.ascontiguousarray(a).tobytes()) for a in merge(got)]
-        return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "answer": out})
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(pdf["bundle"].iloc[0], part, run) for part, run in kind.down(list(pdf.sort_values("unit")["run"]), below)]
+        return pd.DataFrame(out, columns=["unit", "part", "run"])
 
-    return runs.groupBy("range").applyInPandas(run, "block long, range int, answer binary")
+    got = answer(tagged.groupBy("bundle", "part").applyInPandas(down, RUNS), kind, bundles, below)
+    got = got.select(F.col("unit").alias("bundle"), F.floor(F.col("part") / F.lit(FAN)).cast("int").alias("part"), F.col("part").alias("sub"), "answer")
 
+    def up(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("unit")
+        return pd.DataFrame({"unit": pdf["unit"], "part": pdf["part"], "answer": kind.up(list(pdf["run"]), list(answers.sort_values("sub")["answer"]), below)})
 
-def in_several(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
-    """For each run's keys, whether another run has them or the run itself marks them (a bool for each key)."""
-    flags = [np.frombuffer(unzipped(v), bool) for _, v in runs]
-    keys = np.concatenate([k for k, _ in runs])
-    keys.sort()
-    twice = np.unique(np.concatenate([keys[1:][keys[1:] == keys[:-1]], *(k[f] for (k, _), f in zip(runs, flags))]))
+    return tagged.groupBy("bundle", "part").cogroup(got.groupBy("bundle", "part")).applyInPandas(up, ANSWERS)
+
+
+def any_of(keys: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of several: each key with whether it is in several of them or marked in one."""
+    uniq, of = np.unique(keys, return_inverse=True)
+    return uniq, (np.bincount(of, minlength=len(uniq)) > 1) | (np.bincount(of, flags, len(uniq)) > 0)
+
+
+def in_several(keys: list[np.ndarray], flags: list[np.ndarray]) -> list[np.ndarray]:
+    """For each run's keys, whether another run has them or a run marks them (a bool for each key)."""
+    every = np.concatenate(keys)
+    every.sort()
+    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[f] for k, f in zip(keys, flags))]))
     if not len(twice):
-        return [np.zeros(len(k), bool) for k, _ in runs]
-    return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k, _ in runs]
+        return [np.zeros(len(k), bool) for k in keys]
+    return [twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k for k in keys]
+
+
+def in_order(answers: pd.DataFrame, kind) -> np.ndarray:
+    """A block's answers as one array, in the order of its keys."""
+    order = np.argsort(answers["part"].to_numpy(), kind="stable")
+    parts = [np.frombuffer(unzipped(answers["answer"].iloc[i]), kind) for i in order]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def back(blocks: DataFrame, answers: DataFrame, kind, use: Callable, schema: str) -> DataFrame:
     """use(ids, null, texts, answers in key order) for each block gives a pandas frame of `schema`."""
 
     def run(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(a["range"].to_numpy(), kind="stable")
-        parts = [np.frombuffer(unzipped(a["answer"].iloc[i]), kind) for i in order]
-        return use(*unpack(b["body"].iloc[0]), np.concatenate(parts) if parts else np.zeros(0, kind))
+        return use(*unpack(b["body"].iloc[0]), in_order(a, kind))
 
-    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("unit")).applyInPandas(run, schema)
 
 
 def joined(ids: np.ndarray, null: np.ndarray) -> pd.Series:

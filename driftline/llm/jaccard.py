@@ -229,13 +229,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def spread(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of several: each key with its count, 255 at most."""
+    uniq, of = np.unique(keys, return_inverse=True)
+    return uniq, np.minimum(255, np.bincount(of, counts, len(uniq)))
+
+
+def spread(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
     """For each run's keys 0 if one set alone has the key, else a number that grows with how many have it."""
-    keys = np.concatenate([k for k, _ in runs])
-    counts = np.concatenate([np.frombuffer(B.unzipped(v), np.uint8) for _, v in runs])
-    _, of = np.unique(keys, return_inverse=True)
-    level = np.minimum(255, 8 * np.log2(np.bincount(of, counts, 1))).astype(np.uint8)[of]
-    return np.split(level, np.cumsum([len(k) for k, _ in runs])[:-1])
+    _, of = np.unique(np.concatenate(keys), return_inverse=True)
+    level = np.minimum(255, 8 * np.log2(np.bincount(of, np.concatenate(counts), 1))).astype(np.uint8)[of]
+    return np.split(level, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -244,7 +248,9 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
     tokens: the shingles that others may have, rarest first; null for sets without a link.
     """
     packed = B.pack(docs, doc_id, text, BLOCK_BYTES)
-    n, bits = B.ranges(packed), B.key_bits(packed)
+    units, size = B.totals(packed)
+    bits = B.key_bits(size)
+    kind = B.Keys(B.ranges(size), bits, np.uint8, np.uint8, summed, spread)
     cut = np.uint64(64 - bits)
 
     def of_block(texts):
@@ -257,7 +263,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
 
     def keys_of(ids, null, texts):
         *_, keys, counts = of_block(texts)
-        return keys, np.minimum(counts, 255).astype(np.uint8)
+        return keys, np.minimum(counts, 255)
 
     def use(ids, null, texts, levels):
         sets, nodes, first, keys, _ = of_block(texts)
@@ -272,7 +278,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> Data
             tokens.append(linked)
         return pd.DataFrame({"doc_id": B.joined(ids, null), "n_shingles": [len(s) for s in sets], "node": nodes, "tokens": tokens})
 
-    return written(B.back(packed, B.answer(B.send(packed, n, bits, keys_of), spread), np.uint8, use, "doc_id long, n_shingles long, node binary, tokens binary"))
+    return written(B.back(packed, B.answer(B.send(packed, kind, keys_of), kind, units), np.uint8, use, "doc_id long, n_shingles long, node binary, tokens binary"))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -53,25 +53,29 @@ def _table(found) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
 
 
-def _sum(runs: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
+def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    uniq, of = np.unique(keys, return_inverse=True)
+    return uniq, np.bincount(of, counts, len(uniq)).astype(np.int64)
+
+
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
     """The corpus counts of each run's keys."""
-    keys = np.concatenate([k for k, _ in runs])
-    counts = np.concatenate([np.frombuffer(B.unzipped(v), np.uint32) for _, v in runs]).astype(np.int64)
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, counts).astype(np.int64)[inverse]
-    return np.split(total, np.cumsum([len(k) for k, _ in runs])[:-1])
+    uniq, total = _total(np.concatenate(keys), np.concatenate(counts))
+    return [total[np.searchsorted(uniq, k)] for k in keys]
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words)."""
     packed = B.pack(docs, doc_id, text)
-    n, bits = B.ranges(packed, RANGE_BYTES), 64  # nothing verifies the keys
+    units, size = B.totals(packed)
+    bits = 64  # nothing verifies the keys
+    kind = B.Keys(B.ranges(size, RANGE_BYTES), bits, np.int64, np.int64, _total, _totals)
 
     def keys_of(ids, null, texts):
         keys, counts = _table(grams(texts, order, bits)[0])
-        return keys, counts.astype(np.uint32)
+        return keys, counts
 
-    answers = B.answer(B.send(packed, n, bits, keys_of), _sum)
+    answers = B.answer(B.send(packed, kind, keys_of), kind, units)
     size = _corpus_words(packed)
 
     def use(ids, null, texts, total):

@@ -11,15 +11,23 @@ first GRAM bytes are in one document only; these can match nothing and are left
 
 Sort: each block sorts its suffixes, cut at the furthest byte a match can reach and
 followed by the bytes before the anchor a match can reach; equal ones collapse with
-their least document.  The sorted runs are front-coded (length of the prefix shared
-with the one before, then the rest) and exchanged by range.  A range merges its runs
-with a loser tree that holds each head's common prefix with the last winner: the head
-with the longer one is smaller, and on equal lengths bytes are compared from there on,
-so that no known prefix is compared again.  Merged neighbours with GRAM common bytes
-form a group, in which the least document of every MATCH-byte string is found; a mask of
-the strings with a smaller document goes back to each run.
-
-Hot suffixes take one entry of a block at most, whatever number of copies there is.
+their least document.  The order is that of (range of the first GRAM bytes, bytes), with
+ranges dealt by a second hash of these bytes: suffixes with GRAM common bytes stay
+neighbours, and no range is larger than another by the anchors' choice.  The sorted runs
+are front-coded (length of the prefix shared with the one before, then the rest) and
+exchanged by range.  A range merges its runs with a loser tree that holds each head's
+common prefix with the last winner: the head with the longer one is smaller, and on
+equal lengths bytes are compared from there on, so that no known prefix is compared
+again.  The prefix lengths that the tree gives also decide the matches: a string that
+starts o bytes before its anchor is equal in two suffixes if all neighbours between them
+share MATCH - o bytes and the o bytes before are equal too, which an order of the bytes
+before the anchors tells.  No hash takes part in a verdict.  The least document of every
+string is found so, and a mask of the strings with a smaller document goes back to each
+run.
+
+Hot suffixes take one entry of a block at most, whatever number of copies there is.  The
+suffixes of one gram (GRAM equal bytes) with different surroundings meet in one task,
+some 300 bytes each.
 
 Defined cases: null and empty texts have no bytes; texts under MATCH bytes lose none;
 rows with one id are one document, so that a repeated row loses nothing by its twin; a
@@ -35,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import kernels as K
@@ -49,10 +58,13 @@ KEY = MATCH + BEFORE + 2
 #: Bytes of text in a block: its keys are Python objects while they are sorted.
 BLOCK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
+#: The mask of all strings.
+EVERY = np.uint32((1 << SPAN) - 1)
+DEAL = K.COEF[50]
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Position, document, first and last string start, and gram hash of each anchor."""
+    """Position, document, first and last string start, and gram key of each anchor."""
     out = []
     for a, b in K.pieces(off, 1 << 18):
         lo, part, o = int(off[a]), buf[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -78,7 +90,8 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         new[1:-1] = at[1:] != at[:-1]
         i = np.flatnonzero(ok[:-1] & (new[:-1] | ~np.concatenate(([False], ok[:-2]))))
         j = np.flatnonzero(ok[:-1] & (new[1:] | ~ok[1:]))
-        out.append((at[i] + lo, np.searchsorted(o, at[i], "right") - 1 + a, i + lo, j + lo, h[at[i]]))
+        # the anchors are the least hashes, so ranges are dealt by another one
+        out.append((at[i] + lo, np.searchsorted(o, at[i], "right") - 1 + a, i + lo, j + lo, K.mix(h[at[i]] ^ DEAL)))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros(0, np.uint64)
@@ -98,9 +111,8 @@ def sort_keys(buf: np.ndarray, off: np.ndarray, at: np.ndarray, doc: np.ndarray)
     return rows
 
 
-def sorted_run(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Front coding of sorted distinct keys: common prefix lengths and the bytes after them."""
-    m = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+def front_coded(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Front coding of sorted distinct rows: common prefix lengths and the bytes after them."""
     lcp = np.zeros(len(m), np.uint8)
     if len(m) > 1:
         lcp[1:] = (m[1:] != m[:-1]).argmax(1)
@@ -184,8 +196,9 @@ class Judge:
     """Takes merged keys and finds, for each run's entry, its strings that are in a smaller document.
 
     Keys of one gram arrive together.  Some 50,000 distinct keys are judged at a time: for each
-    place of the anchor the strings are grouped, and each group's least document is compared with
-    the entries' own.  The answer's bit o stands for the string that starts o bytes before the anchor.
+    place of the anchor, keys are grouped by the neighbours' common prefixes and by the bytes
+    before the anchor, and each group's least document is compared with the entries' own.  The
+    answer's bit o stands for the string that starts o bytes before the anchor.
     """
 
     MOST = 50_000
@@ -195,133 +208,170 @@ class Judge:
         self.docs = np.array([d for r in runs for d in r.docs], np.int64)
         self.mask = np.zeros(self.base[-1], np.uint32)
         first = {id(r): int(x) for r, x in zip(runs, self.base)}
-        keys, entry, of = [], [], []
+        keys, common, entry, of = [], [], [], []
         for key, h, run, i in merged(runs):
             if h < KEY or not keys:
                 if h < GRAM and len(keys) >= self.MOST:
-                    self.flush(keys, entry, of)
-                    keys, entry, of = [], [], []
+                    self.flush(keys, common, entry, of)
+                    keys, common, entry, of = [], [], [], []
                 keys.append(key)
+                common.append(h)
             entry.append(first[id(run)] + i)
             of.append(len(keys) - 1)
         if keys:
-            self.flush(keys, entry, of)
+            self.flush(keys, common, entry, of)
 
-    def flush(self, keys: list[bytes], entry: list[int], of: list[int]) -> None:
+    def flush(self, keys: list[bytes], common: list[int], entry: list[int], of: list[int]) -> None:
         rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
-        entry, of = np.array(entry), np.array(of)
+        entry, of, lcp = np.array(entry), np.array(of), np.array(common)
+        lcp[0] = 0
         docs = self.docs[entry]
         least = np.minimum.reduceat(docs, np.flatnonzero(np.diff(of, prepend=-1)))
-        power, inverse = K.powers(KEY)
-        line = np.concatenate((rows[:, MATCH : MATCH + BEFORE], rows[:, :MATCH]), 1)
-        pre = np.zeros((len(rows), BEFORE + MATCH + 1), np.uint64)
-        np.cumsum(K.BYTE[line] * power[: BEFORE + MATCH], axis=1, out=pre[:, 1:])
+        # only keys with a neighbour of their gram have strings in common with another key
+        near = lcp >= GRAM
+        near[:-1] |= near[1:]
+        pick = np.flatnonzero(near)
+        rows, lcp, after, before = rows[pick], lcp[pick], rows[pick, -2], rows[pick, -1]
+        # keys in the order of the bytes before their anchors, nearest first, and the bytes that neighbours share
+        back = np.zeros((len(rows), -(-BEFORE // 8) * 8), np.uint8)
+        back[:, :BEFORE] = rows[:, MATCH : MATCH + BEFORE][:, ::-1]
+        order = np.lexsort(back.view(">u8").T[::-1])
+        shared = np.zeros(len(rows), np.int64)
+        differ = back[order[1:]] != back[order[:-1]]
+        shared[1:] = np.where(differ.any(1), differ.argmax(1), BEFORE)
         mask = np.zeros(len(entry), np.uint32)
         for o in range(SPAN):
-            s = BEFORE - o
-            h = K.mix((pre[:, s + MATCH] - pre[:, s]) * inverse[s])
-            there = (rows[:, -1] >= o) & (rows[:, -2] >= MATCH - o)
-            h = h[there]
-            if not len(h):
-                continue
-            order = np.argsort(h)
-            start = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-            first = np.minimum.reduceat(least[there][order], start)
-            found = np.empty(len(h), np.int64)
-            found[order] = np.repeat(first, np.diff(np.concatenate((start, [len(h)]))))
-            of_key = np.full(len(rows), LAST)
-            of_key[there] = found
+            of_key = least.copy()
+            there = np.flatnonzero((before >= o) & (after >= MATCH - o))
+            if len(there):
+                group = np.cumsum(lcp < MATCH - o) * len(rows)
+                if o:
+                    group[order] += np.cumsum(shared < o)
+                group = group[there]
+                by = np.argsort(group)
+                start = np.flatnonzero(np.concatenate(([True], group[by][1:] != group[by][:-1])))
+                first = np.minimum.reduceat(least[pick[there]][by], start)
+                of_key[pick[there[by]]] = np.repeat(first, np.diff(np.concatenate((start, [len(by)]))))
             mask |= (docs > of_key[of]).astype(np.uint32) << np.uint32(o)
         self.mask[entry] = mask
 
 
-def judge_all(runs: list[Run]) -> list[np.ndarray]:
-    """A mask for each entry of each run."""
-    judge = Judge(runs)
-    return np.split(judge.mask, judge.base[1:-1])
+class Suffixes:
+    """Front-coded runs of sorted keys with their least documents, for B.answer."""
+
+    def __init__(self, n: int, bits: int):
+        self.n, self.bits = n, bits
+
+    @staticmethod
+    def write(rows: np.ndarray, least: np.ndarray) -> bytes:
+        lcp, rest = front_coded(rows)
+        parts = [B.zipped(x.tobytes()) for x in (lcp, least, rest)]
+        return np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts)
+
+    @staticmethod
+    def read(run: bytes) -> Run:
+        x, y, _ = np.frombuffer(run, np.int64, 3).tolist()
+        lcp, least, rest = run[24 : 24 + x], run[24 + x : 24 + x + y], run[24 + x + y :]
+        return Run(*(np.frombuffer(B.unzipped(p), kind) for p, kind in ((lcp, np.uint8), (rest, np.uint8), (least, np.int64))))
+
+    def part_of(self, grams: np.ndarray, step: int) -> np.ndarray:
+        return B.range_of(grams, self.n, self.bits) // step
+
+    def _merge(self, runs: list[bytes]):
+        """Distinct keys, their least documents and each run's entries in them."""
+        read = [self.read(r) for r in runs]
+        keys, least, at = [], [], {id(r): [] for r in read}
+        for key, h, run, i in merged(read):
+            d = run.docs[i]
+            if h < KEY or not keys:
+                keys.append(key)
+                least.append(d)
+            elif d < least[-1]:
+                least[-1] = d
+            at[id(run)].append(len(keys) - 1)
+        rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+        power, _ = K.powers(GRAM)
+        grams = K.mix(K.mix((K.BYTE[rows[:, :GRAM]] * power[:GRAM]).sum(1, dtype=np.uint64)) ^ DEAL) >> np.uint64(64 - self.bits)
+        return rows, np.array(least, np.int64), [np.array(at[id(r)]) for r in read], grams, read
+
+    def down(self, runs: list[bytes], step: int):
+        rows, least, _, grams, _ = self._merge(runs)
+        part = self.part_of(grams, step)
+        for p in np.unique(part).tolist():
+            i = part == p
+            yield p, self.write(rows[i], least[i])
+
+    def up(self, runs: list[bytes], answers: list[bytes], step: int) -> list[bytes]:
+        """An entry whose document isn't the bundle's least has all its strings in a smaller one."""
+        _, least, at, grams, read = self._merge(runs)
+        got = np.empty(len(grams), np.uint32)
+        got[np.argsort(self.part_of(grams, step), kind="stable")] = np.concatenate([np.frombuffer(B.unzipped(x), np.uint32) for x in answers])
+        return [B.zipped(np.where(np.array(r.docs, np.int64) > least[i], EVERY, got[i]).astype(np.uint32).tobytes()) for r, i in zip(read, at)]
+
+    def judge(self, runs: list[bytes]) -> list[bytes]:
+        judge = Judge([self.read(r) for r in runs])
+        return [B.zipped(m.tobytes()) for m in np.split(judge.mask, judge.base[1:-1])]
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans array<struct<start, end>> (maximal removed runs), kept binary."""
     packed = B.pack(docs, doc_id, text, BLOCK_BYTES)
-    n, bits = B.ranges(packed), B.key_bits(packed)
+    units, size = B.totals(packed)
+    bits, n = B.key_bits(size), B.ranges(size)
     cut = np.uint64(64 - bits)
-
-    def grams_of(ids, null, texts):
-        """Anchors, sorted distinct gram keys and each anchor's key."""
-        buf, off = K.texts(texts)
-        found = anchors(buf, off)
-        return buf, off, found, np.where(null, LAST, ids), found[4] >> cut
+    grams, suffixes, step = B.Keys(n, bits, bool, bool, B.any_of, B.in_several), Suffixes(n, bits), B.top_step(n)
 
     def keys_of(ids, null, texts):
-        _, _, (_, doc, *_), names, gram = grams_of(ids, null, texts)
+        _, doc, _, _, gram = anchors(*K.texts(texts))
+        gram, names = gram >> cut, np.where(null, LAST, ids)
         order = np.argsort(gram, kind="stable")
         keys, start = np.unique(gram[order], return_index=True)
         of = names[doc[order]]
         several = np.maximum.reduceat(of, start) != np.minimum.reduceat(of, start) if len(keys) else np.zeros(0, bool)
         return keys, several
 
-    shared = written(B.answer(B.send(packed, n, bits, keys_of), B.in_several), "none")
+    shared = written(B.answer(B.send(packed, grams, keys_of), grams, units), "none")
 
-    def runs_of(ids, null, texts, hit):
-        """For each range: its sorted distinct keys with their least documents; and the anchors that are in question."""
-        buf, off, (at, doc, p, q, _), names, gram = grams_of(ids, null, texts)
+    def entries(ids, null, texts, hit):
+        """The anchors in question, the entry of each, and the entries in order: part, key, least document."""
+        buf, off = K.texts(texts)
+        at, doc, p, q, gram = anchors(buf, off)
+        gram, names = gram >> cut, np.where(null, LAST, ids)
         use = hit[np.searchsorted(np.unique(gram), gram)] if len(gram) else np.zeros(0, bool)
         at, doc, p, q, gram = at[use], doc[use], p[use], q[use], gram[use]
-        rows = sort_keys(buf, off, at, doc).tobytes()
-        edge = np.array([(i << bits) // n for i in range(1, n)], np.uint64)
-        dealt = np.searchsorted(edge, gram, "right").tolist()
-        runs: list[dict[bytes, int]] = [{} for _ in range(n)]
-        keys = [rows[i : i + KEY] for i in range(0, len(rows), KEY)]
-        owner = names[doc].tolist()
-        for r, key, d in zip(dealt, keys, owner):
-            run = runs[r]
-            if run.setdefault(key, d) > d:
-                run[key] = d
-        return buf, off, at, p, q, doc, keys, dealt, owner, [sorted(r.items()) for r in runs]
-
-    return _merge_and_cut(packed, shared, runs_of)
-
-
-def _merge_and_cut(packed: DataFrame, shared: DataFrame, runs_of) -> DataFrame:
-    """Exchange of runs, merge by range, and the texts cut."""
+        rows = np.concatenate((suffixes.part_of(gram, step).astype(">u4").view(np.uint8).reshape(-1, 4), sort_keys(buf, off, at, doc)), 1)
+        order = np.argsort(rows.view(f"S{rows.shape[1]}").reshape(-1), kind="stable")
+        rows, owner = rows[order], names[doc]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        entry = np.empty(len(rows), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(owner[order], np.flatnonzero(new)) if len(rows) else owner
+        part = np.ascontiguousarray(rows[new, :4]).view(">u4").reshape(-1).astype(np.int64)
+        return buf, off, at, p, q, owner, entry, part, np.ascontiguousarray(rows[new, 4:]), least
 
     def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        found = runs_of(*B.unpack(b["body"].iloc[0]), _answers(a, bool))[-1]
-        block, out = b["block"].iloc[0], []
-        for r, run in enumerate(found):
-            if run:
-                lcp, rest = sorted_run([k for k, _ in run])
-                least = np.array([d for _, d in run], np.int64)
-                out.append((r, block, B.zipped(lcp.tobytes()), B.zipped(least.tobytes()), B.zipped(rest.tobytes())))
-        return pd.DataFrame(out, columns=["range", "block", "lcp", "least", "rest"])
-
-    runs = packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(emit, "range int, block long, lcp binary, least binary, rest binary")
+        *_, part, keys, least = entries(*B.unpack(b["body"].iloc[0]), B.in_order(a, bool))
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
+        out = [(b["block"].iloc[0], part[x], Suffixes.write(keys[x:y], least[x:y])) for x, y in zip(cuts, cuts[1:])]
+        return pd.DataFrame(out, columns=["unit", "part", "run"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c, kind: [np.frombuffer(B.unzipped(x), kind) for x in pdf[c]]
-        got = [Run(*x) for x in zip(read("lcp", np.uint8), read("rest", np.uint8), read("least", np.int64))]
-        return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "answer": [B.zipped(m.tobytes()) for m in judge_all(got)]})
-
-    masks = runs.groupBy("range").applyInPandas(merge, "block long, range int, answer binary")
-    tagged = shared.selectExpr("block", "0 as kind", "range", "answer").union(masks.selectExpr("block", "1 as kind", "range", "answer"))
+    runs = packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS)
+    masks = B.answer(runs, suffixes, units)
+    tagged = shared.withColumn("kind", F.lit(0)).union(masks.withColumn("kind", F.lit(1)))
 
     def finish(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         ids, null, texts = B.unpack(b["body"].iloc[0])
-        buf, off, at, p, q, doc, keys, dealt, owner, found = runs_of(ids, null, texts, _answers(a[a["kind"] == 0], bool))
-        got = dict(zip(a["range"][a["kind"] == 1], a["answer"][a["kind"] == 1]))
-        mask_of = [dict(zip((k for k, _ in run), zip((d for _, d in run), np.frombuffer(B.unzipped(got[r]), np.uint32).tolist()))) if run else {} for r, run in enumerate(found)]
-        every = (1 << SPAN) - 1
-        masks = np.empty(len(at), np.uint32)
-        for i, (r, key, d) in enumerate(zip(dealt, keys, owner)):
-            least, mask = mask_of[r][key]
-            masks[i] = mask if d == least else every
+        buf, off, at, p, q, owner, entry, _, _, least = entries(ids, null, texts, B.in_order(a[a["kind"] == 0], bool))
+        got = B.in_order(a[a["kind"] == 1], np.uint32)
+        masks = np.where(owner > least[entry], EVERY, got[entry]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         cover = np.zeros(len(buf) + 1, np.int64)
         for o in range(SPAN):
             s = at - o
             s = s[(masks >> np.uint32(o) & 1).astype(bool) & (s >= p) & (s <= q)]
-            np.add.at(cover, s, 1)
-            np.add.at(cover, s + MATCH, -1)
+            # each string start belongs to one anchor
+            cover[s] += 1
+            cover[s + MATCH] -= 1
         gone = np.cumsum(cover[:-1]) > 0
         edge = np.zeros(len(buf) + 1, bool)
         edge[off] = True
@@ -337,18 +387,9 @@ def _merge_and_cut(packed: DataFrame, shared: DataFrame, runs_of) -> DataFrame:
         out.insert(0, "doc_id", B.joined(ids, null))
         return out
 
-    return packed.select("block", "body").groupBy("block").cogroup(tagged.groupBy("block")).applyInPandas(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-
-
-def _answers(a: pd.DataFrame, kind) -> np.ndarray:
-    order = np.argsort(a["range"].to_numpy(), kind="stable")
-    parts = [np.frombuffer(B.unzipped(a["answer"].iloc[i]), kind) for i in order]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    return packed.select("block", "body").groupBy("block").cogroup(tagged.groupBy("unit")).applyInPandas(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans(table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_bytes", "aggregate(spans, 0L, (s, x) -> s + x.end - x.start) as n_removed", "cast(size(spans) as long) as n_spans", "sha2(kept, 256) as kept_sha256")
-
-
-

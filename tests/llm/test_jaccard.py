@@ -107,6 +107,5 @@ def test_classes_without_single_tokens():
 
 
 def test_spread():
-    runs = [(np.array([1, 5], np.uint64), J.B.zipped(bytes([1, 2]))), (np.array([5, 9], np.uint64), J.B.zipped(bytes([1, 1])))]
-    a, b = J.spread(runs)
+    a, b = J.spread([np.array([1, 5], np.uint64), np.array([5, 9], np.uint64)], [np.array([1, 2], np.uint8), np.array([1, 1], np.uint8)])
     assert a[0] == b[1] == 0 and a[1] == b[0] > 0

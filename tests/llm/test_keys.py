@@ -1,15 +1,53 @@
-"""Scores against SQL where the blocks' keys are far too short."""
+"""Scores and classes where blocks go through several levels and short keys collide."""
 
 import duckdb
+import numpy as np
+import pytest
 
-from driftline.llm import blocks, lm
+from driftline.llm import blocks, jaccard, lm
 
 
-def test_scores_keep_all_bits(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "key_bits", lambda packed: 10)
-    docs = spark.createDataFrame([(i, " ".join(f"v{(i * j * j + j) % 97}" for j in range(60))) for i in range(20)], "doc_id long, text string")
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, " ".join(f"v{(i * j * j + j) % 97}" for j in range(60))) for i in range(20)], "doc_id long, text string").repartition(5)
+
+
+def want(docs, min_count=2):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
-    want = {r[0]: r[2] for r in con.execute(lm.SQL).fetchall()}
+    return {r[0]: r[2] for r in con.execute(lm.SQL.replace(">= 2", f">= {min_count}")).fetchall()}
+
+
+@pytest.mark.parametrize("min_count", [1, 2, 3])
+def test_scores_count_by_all_bits(docs, monkeypatch, min_count):
+    expect = want(docs, min_count)
+    got = {r.doc_id: r.mean_log_score for r in lm.scores(docs, min_count=min_count).collect()}
+    assert got.keys() == expect.keys() and all(abs(got[i] - expect[i]) < 2e-6 for i in expect)
+
+
+def test_levels(docs, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 2)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 700)
+    expect = want(docs)
     got = {r.doc_id: r.mean_log_score for r in lm.scores(docs).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+    assert got.keys() == expect.keys() and all(abs(got[i] - expect[i]) < 2e-6 for i in expect)
+
+
+def test_jaccard_levels(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(6)
+    whole = sorted(map(tuple, jaccard.link(rows).collect()))
+    monkeypatch.setattr(blocks, "FAN", 3)
+    monkeypatch.setattr(blocks.ranges, "__defaults__", (20_000,))
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
+    assert sorted(map(tuple, jaccard.link(rows).collect())) == whole
+
+
+def test_rows_of_the_exchange_follow_the_blocks():
+    """A block has FAN runs at most, whatever number of ranges there is."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 48, 200_000, dtype=np.uint64))
+    for n in (128, 200, 5_000, 1 << 20):
+        kind = blocks.Keys(n, 48, bool, bool, blocks.any_of, blocks.in_several)
+        step = blocks.top_step(n)
+        runs = list(kind.split(keys, np.zeros(len(keys), bool), step))
+        assert len(runs) <= blocks.FAN and sum(len(blocks.unpack_keys(r)[0]) for _, r in runs) == len(keys)
+        assert all((int(k) * n >> 48) // step == part for part, r in runs for k in blocks.unpack_keys(r)[0][[0, -1]])

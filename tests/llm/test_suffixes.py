@@ -50,6 +50,25 @@ def test_against_brute_force(spark):
         assert own(spark, rows) == brute(rows)
 
 
+def test_levels(spark, monkeypatch):
+    """Bundles of bundles of blocks, as a corpus of many ranges has them."""
+    monkeypatch.setattr(S.B, "FAN", 2)
+    monkeypatch.setattr(S.B, "RANGE_BYTES", 600)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(S.B.ranges, "__defaults__", (600,))
+    rows = corpus(5)
+    assert own(spark, rows) == brute(rows)
+
+
+def test_even_ranges():
+    """Anchors are the least hashes, but no range holds over 1.5 times the mean of their keys."""
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(200_000)).encode()
+    gram = S.anchors(S.np.frombuffer(text, S.np.uint8), S.np.array([0, len(text)]))[4]
+    held = S.np.bincount(S.B.range_of(gram >> S.np.uint64(16), 100, 48), minlength=100)
+    assert len(gram) > 50_000 and held.max() < 1.5 * held.mean()
+
+
 def test_empty_table(spark):
     assert own(spark, [(1, None)]) == brute([(1, None)])
     assert S.spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -60,7 +79,7 @@ def test_loser_tree():
     for n in (1, 2, 3, 7):
         lists = [sorted({bytes(r.choice(b"ab") for _ in range(5)) + b"x" * (S.KEY - 5) for _ in range(r.randrange(20))}) for _ in range(n)]
         lists = [x for x in lists if x] or [[b"q" * S.KEY]]
-        runs = [S.Run(*S.sorted_run(x), S.np.zeros(len(x), S.np.int64)) for x in lists]
+        runs = [S.Run(*S.front_coded(S.np.frombuffer(b"".join(x), S.np.uint8).reshape(-1, S.KEY)), S.np.zeros(len(x), S.np.int64)) for x in lists]
         got, last = [], b""
         for key, h, _, _ in S.merged(runs):
             if got:
