@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: At most so many rows of a narrow table are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: At most so many bytes of rows are broadcast; beyond it the joins shuffle.
+BROADCAST_BYTES = 16 << 20
+
+_open: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, a local one."""
+    """The folder that driver and executors share, spark.checkpoint.dir; only in local mode, where there is one machine, it may be unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.gettempdir()}/driftline-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", top)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,19 +35,49 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A path for a table: in the open `intermediate` folder, else in the session's."""
+    top = _open[-1] if _open else f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftline/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has at most `most` rows, else as it is."""
-    n = df.limit(most + 1).count()
-    return F.broadcast(df) if n <= most else df
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """What operators write inside goes at the end; results must have been written to a path of their own by then."""
+    path = new_path(spark)
+    _open.append(path)
+    try:
+        yield
+    finally:
+        _open.remove(path)
+        delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written in this session; call it when the results are stored."""
+    delete(spark, f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}")
+
 
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if its rows, written as JSON, have at most `most` bytes, else as it is.
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    `df` is computed once more for it: it should be a written table or little work.
+    """
+    if df.limit(most // 8 + 1).count() > most // 8:
+        return df
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
