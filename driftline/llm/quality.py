@@ -2,12 +2,16 @@
 
 Each document gets rule counts over its whole text; the base rules fail a document;
 failures are then summed by host, each host's failure rate is shrunk with a beta
-prior fitted to all hosts (method of moments), and a host whose shrunk rate exceeds
-`host_limit` has all its documents rejected.
-
-Defined cases: a null or empty text has no words and fails; a null host is a host of
-its own; repeated rows are each judged; an empty table gives an empty table; input
-columns other than the id, text and host are not looked at.
+prior fitted to all hosts, and a host whose shrunk rate exceeds `host_limit` has all its
+documents rejected.  The prior has the pooled rate m as mean; its weight 1 / rho - 1 comes
+from the moments of the weighted squared deviations S = sum n (f / n - m) ** 2, of which
+the binomial part is taken off: S = m (1 - m) ((1 - rho) (k - 1) + rho (N - sum n ** 2 / N))
+for k hosts of n documents, N in all.
+
+Defined cases: a null or empty text has no words and fails; a very long text is counted
+whole; a null host is a host of its own; repeated rows are each judged; an empty table
+gives an empty table; other columns, whatever their names, are not looked at, and
+`kept_documents` returns them as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ LEAD[0x80:0xC0] = False
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A host is rejected when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
-#: Bounds of the prior's weight in documents.
+#: Bounds of the prior's weight in documents; the upper one also stands for hosts that do not differ.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1000.0
 
 
@@ -106,10 +110,11 @@ def base_failed() -> F.Column:
 def host_verdicts(judged: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
     """A row per host: _host, docs, failures, shrunk_rate, host_rejected.  `judged` has base_failed."""
     hosts = judged.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    rate = F.col("failures") / F.col("docs")
-    prior = hosts.agg((F.sum("failures") / F.sum("docs")).alias("m"), F.var_pop(rate).alias("v")).select(
-        "m", F.when(F.col("v") > 0, F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MOST_WEIGHT)).alias("w")
-    )
+    moments = hosts.agg(F.sum("failures").alias("f"), F.sum("docs").alias("n"), F.sum(F.col("docs").cast("double") ** 2).alias("q"), F.count("*").alias("k"), F.sum(F.col("failures").cast("double") ** 2 / F.col("docs")).alias("s"))
+    m = F.col("f") / F.nullif("n", F.lit(0))
+    within = F.nullif(m * (1 - m), F.lit(0.0))
+    rho = ((F.col("s") - F.col("n") * m * m) / within - (F.col("k") - 1)) / F.nullif(F.col("n") - F.col("q") / F.nullif("n", F.lit(0)) - (F.col("k") - 1), F.lit(0.0))
+    prior = moments.select(m.alias("m"), rho.alias("rho")).select("m", F.when(F.col("rho") > 0, F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), 1 / F.col("rho") - 1))).otherwise(F.lit(MOST_WEIGHT)).alias("w"))
     shrunk = (F.col("failures") + F.col("w") * F.col("m")) / (F.col("docs") + F.col("w"))
     return hosts.crossJoin(F.broadcast(prior)).select("_host", "docs", "failures", shrunk.alias("shrunk_rate"), (shrunk > limit).alias("host_rejected"))
 
@@ -124,13 +129,18 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", rejected.alias("host_rejected"), (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents, all columns, that the rules keep."""
-    names = docs.columns
-    judged = with_counts(docs, "text", tuple(names)).withColumn("base_failed", base_failed())
-    hosts = host_verdicts(with_counts(docs, "text", ("source",)).withColumn("base_failed", base_failed()), "source")
-    verdicts = small(written(hosts.where("host_rejected").select("_host")))
-    return judged.where("not base_failed").join(verdicts, F.col("source").eqNullSafe(F.col("_host")), "left_anti").select(*names)
+
+    @F.arrow_udf("boolean")
+    def failed(texts: pa.Array) -> pa.Array:
+        c = rule_counts(*K.texts(texts))
+        return pa.array((c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"]))
+
+    # the input's columns are kept in a struct, so that no name of theirs can clash; only the text goes to Python, once
+    judged = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{host}`").alias("host"), failed(F.col(f"`{text}`")).alias("base_failed")))
+    verdicts = small(written(host_verdicts(judged, "host").where("host_rejected").select("_host")))
+    return judged.where("not base_failed").join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("doc.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +162,9 @@ j AS (SELECT t.doc_id, t.source, coalesce(n_words, 0)::BIGINT AS n_words, coales
   FROM t LEFT JOIN wc USING (r) LEFT JOIN dl USING (r) LEFT JOIN rw USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
-p AS (SELECT sum(f)::DOUBLE / sum(n) AS m, var_pop(f::DOUBLE / n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM p),
+o AS (SELECT sum(f)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS n, sum(n::DOUBLE * n) AS q, count(*) AS k, sum(f::DOUBLE * f / n) AS s FROM h),
+p AS (SELECT m, ((s - n * m * m) / nullif(m * (1 - m), 0) - (k - 1)) / nullif(n - q / n - (k - 1), 0) AS rho FROM o),
+q AS (SELECT m, CASE WHEN rho > 0 THEN least(1000.0, greatest(2.0, 1 / rho - 1)) ELSE 1000.0 END AS w FROM p),
 x AS (SELECT source, (f + w * m) / (n + w) > 0.5 AS bad FROM h, q)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT x.bad AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
