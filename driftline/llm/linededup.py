@@ -1,21 +1,30 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A document's non-blank lines are hashed; each window of RUN consecutive lines selects
-its smallest hash as fingerprint, so any repeated run of RUN lines or more is bound to
-share fingerprints with its other occurrences.  Positions of fingerprints that occur
-more than once are joined, and each match is extended both ways, line by line: the
-windows around a shared fingerprint are compared whole, and matching windows that
-overlap or touch make up the repeated run.  Every line of a run's later occurrences
-(by document id, then position) goes, the first occurrence stays; blank lines are kept
-unless the whole text goes.
-
-Hot lines: fingerprints and windows are pre-aggregated before they are shuffled, only
-(id, position) pairs of shared windows are joined, and such joins can be split.
+1. A document's non-blank lines are hashed; each window of RUN consecutive lines selects
+   its smallest hash (the first of equal ones).  Only selected lines are fingerprints, so
+   any repeated run of RUN lines or more is bound to share one with its other occurrences.
+2. The positions of each fingerprint are joined; those of fingerprints that stand in one
+   place only are done.
+3. Each match is extended both ways: as far as a window reaches, the lines before and
+   after the fingerprint are compared, for each place that the fingerprint has in a window
+   which selected it.  The earliest position with the same lines around is the first
+   occurrence.  Windows of neighbouring fingerprints overlap, so that a longer run is
+   covered line by line to both its ends.
+4. Every line of a run's later occurrences (by document id, then position) goes, the first
+   occurrence stays; blank lines are kept unless the whole text goes.
+
+Lines are compared by 128 bits of hashes, fingerprints are chosen by 64 of them.
+
+Hot lines: fingerprints and windows are aggregated before they are shuffled, every
+position is joined to one first occurrence and never to all others, and adaptive
+execution splits the positions of a hot window.
 
 Defined cases: a null text stays null, has no lines and loses none; an empty text
-stays empty; rows with one id are one document for the order, so that a repeated row is
-kept as it is; a null id comes first; lines are compared as they are, white space
-included; other columns are carried along untouched.
+stays empty; a very long text is taken whole; an empty table gives no rows; rows with one
+id are one document for the order, so that a repeated row is kept as it is; a null id
+comes first; lines are compared as they are, white space included; other columns are
+carried along untouched whatever their names, but for n_lines and n_removed, whose place
+dedup_lines takes.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table, written
 
 #: Runs of this many lines are guaranteed to be found; it is the winnowing window.
 RUN = 2
@@ -34,41 +43,59 @@ def _lines(text: str) -> F.Column:
     return F.split(F.col(text), "\n")
 
 
-def _held(text: str) -> F.Column:
-    """The non-blank lines."""
-    return F.filter(_lines(text), lambda x: x.rlike(WORD))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """_print, _id, _around: the selected lines, each with the windows that selected it.
 
+    A window is its first non-blank line's number, the numbers of its lines in the text, and
+    two hashes of them all.
+    """
+    lines = F.transform(_lines(text), lambda x, i: F.struct(F.when(x.rlike(WORD), F.xxhash64(x)).alias("h"), F.xxhash64(F.lit(run), x).alias("g"), i.alias("i")))
+    held = docs.select(F.col(doc_id).alias("_id"), F.filter(lines, lambda x: x["h"].isNotNull()).alias("_l")).where(F.size("_l") >= run)
+    held = held.withColumn("_h", F.transform("_l", lambda x: x["h"]))
+    # the line that each window selects
+    least = lambda at: F.array_position(F.slice("_h", at + 1, run), F.array_min(F.slice("_h", at + 1, run)))
+    held = held.withColumn("_p", F.transform(F.sequence(F.lit(0), F.size("_l") - run), lambda at: (at + least(at)).cast("int") - 1))
+    window = lambda at: F.slice("_l", at + 1, run)
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """_id, _at, _lines array<int>: the windows of `run` lines that occur earlier too, by document and position."""
-    lines = F.transform(_lines(text), lambda x, i: F.struct(F.when(x.rlike(WORD), F.xxhash64(x)).alias("h"), i.alias("i")))
-    held = docs.select(F.col(doc_id).alias("_id"), F.filter(lines, lambda x: x["h"].isNotNull()).alias("_l"))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("_l") - run),
-        lambda i: F.struct(i.alias("_at"), F.slice("_l", i + 1, run).alias("_w")),
-    )
-    w = held.select("_id", F.inline(F.when(F.size("_l") >= run, windows)))
-    w = w.select("_id", "_at", F.col("_w.i").alias("_lines"), F.array_min("_w.h").alias("_print"), F.xxhash64("_w.h").alias("_run"))
-    shared = w.groupBy("_print").agg(F.min(F.struct("_id", "_at")).alias("a"), F.max(F.struct("_id", "_at")).alias("z")).where("a <> z or not (a.`_id` <=> z.`_id`)").select("_print")
-    matched = w.join(shared, "_print", "left_semi")
-    first = matched.groupBy("_run").agg(F.min(F.struct("_id", "_at")).alias("_first"))
-    later = matched.join(first, "_run").where(~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_at") == F.col("_first._at"))))
-    return later.select("_id", "_at", "_lines")
+    def around(k):
+        first = F.filter(F.sequence(F.greatest(F.lit(0), k - (run - 1)), F.least(k, F.size("_l") - run)), lambda at: F.get("_p", at) == k)
+        return F.transform(first, lambda at: F.struct(at.alias("at"), F.transform(window(at), lambda x: x["i"]).alias("lines"), F.xxhash64(F.transform(window(at), lambda x: x["h"])).alias("h"), F.xxhash64(F.transform(window(at), lambda x: x["g"])).alias("g")))
 
+    chosen = F.transform(F.array_distinct("_p"), lambda k: F.struct(F.get("_h", k).alias("_print"), around(k).alias("_around")))
+    return held.select("_id", F.inline(chosen)).select("_print", "_id", "_around")
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """The documents with their columns, the text without later repeated runs, and n_lines, n_removed."""
-    late = repeated_windows(docs, doc_id, text, run).groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_lines"))).alias("_gone"))
-    out = docs.join(late.withColumnRenamed("_id", "_of"), F.col(doc_id).eqNullSafe(F.col("_of")), "left")
+
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """_id, _lines array<int>: the extended matches that have an earlier occurrence."""
+    found = written(fingerprints(docs, doc_id, text, run))
+    place = F.struct("_id", F.col("_around")[0]["at"].alias("at"))
+    shared = found.groupBy("_print").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z or not (a.`_id` <=> z.`_id`)").select("_print")
+    matched = found.join(shared, "_print", "left_semi").select("_id", F.inline("_around"))
+    at = F.struct("_id", "at")
+    first = matched.groupBy("h", "g").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last or not (first.`_id` <=> last.`_id`)").select("h", "g", "first")
+    later = matched.join(first, ["h", "g"]).where(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("at") == F.col("first.at"))))
+    return later.select("_id", F.col("lines").alias("_lines"))
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """doc (a struct of the input's columns), text (without later repeated runs), n_lines, n_removed."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    late = repeated_windows(docs, "_id", "_text", run).groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("_lines"))).alias("_gone"))
+    late = small(written(late.withColumnRenamed("_id", "_of")))
+    out = docs.join(late, F.col("_id").eqNullSafe(F.col("_of")), "left")
     # the lambda's argument holds the split text, which is then split once, not once a line
-    once = F.array(F.struct(_lines(text).alias("l"), F.col("_gone").alias("g")))
+    once = F.array(F.struct(_lines("_text").alias("l"), F.col("_gone").alias("g")))
     left = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), s["g"])
     rest = F.transform(once, lambda s: F.array_join(F.transform(left(s), lambda i: F.get(s["l"], i)), "\n"))[0]
-    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(_held(text))).cast("long")
-    gone = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    names = [c for c in docs.columns if c != text]
-    out = out.select(*names, text, "_gone", total.alias("n_lines"), gone.alias("n_removed"))
-    return out.select(*names, F.when(F.col("n_removed") == 0, F.col(text)).when(F.col("n_removed") == F.col("n_lines"), F.lit("")).otherwise(rest).alias(text), "n_lines", "n_removed")
+    total = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.filter(_lines("_text"), lambda x: x.rlike(WORD)))).cast("long")
+    out = out.select("doc", "_text", "_gone", total.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select("doc", F.when(F.col("n_removed") == 0, F.col("_text")).when(F.col("n_removed") == F.col("n_lines"), F.lit("")).otherwise(rest).alias("text"), "n_lines", "n_removed")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """The documents with their columns, the text without later repeated runs, and n_lines, n_removed."""
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return removed(docs, doc_id, text, run).select(*[F.col("text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in names], "n_lines", "n_removed")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
