@@ -1,21 +1,23 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-The benchmark's items give distinct windows of WINDOW consecutive words.  One pass over
-the training texts counts the windows' terms; each window then has a rarest and a second
-rarest term.  A second pass stores the postings (document, position) of these terms
-only.  The lists of a window's two terms, each less its offset in the window, are
-intersected; what remains is the start of a match in all likelihood, and the third pass
-compares the whole window with the text at that place.  Proximity matches intersect the
-same two lists by the distance of their positions, whatever the order, and compare all
-the windows of text around them.
+The benchmark's items give distinct windows of WINDOW consecutive words.  The training
+texts are split into words once, in a written table.  One pass over it counts the windows'
+terms; each window then has a rarest and a second rarest term.  A second pass stores the
+postings (document, position) of these terms only.  The lists of a window's two terms,
+each less its offset in the window, are intersected; what remains is the start of a match
+in all likelihood, and the third pass compares the whole window with the words at that
+place.  Proximity matches intersect the same two lists by the distance of their positions,
+whatever the order, and compare all the windows of text around them.
 
 Benchmark terms are looked up in a hash set inside the scan while there are at most
-SET_TERMS of them, else by a join.  Tables that are broadcast are counted first.
-
-Defined cases: null and empty texts have no words; an item of fewer than WINDOW words is
-one window, one of none has no window; an item id may repeat, its windows add up; null
-item ids are left out of the list; repeated documents are each judged; an empty
-benchmark hits nothing; other columns are not looked at.
+SET_TERMS of them and SET_BYTES in all, else by a join.  Tables are broadcast if their
+bytes are counted first and few; else both sides are shuffled, which holds at any size.
+
+Defined cases: null and empty texts have no words; a very long text is split whole; an
+item of fewer than WINDOW words is one window, one of none has no window; an item id may
+repeat, its windows add up; null item ids are left out of the list; repeated documents are
+each judged; an empty table gives no rows, an empty benchmark hits nothing; other columns,
+whatever their names, stay in the struct `doc` untouched.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import small, table, written
 
 WINDOW = 10
-#: Terms kept as a set inside the scan's expression; each has some tens of bytes.
-SET_TERMS = 50_000
+#: Terms, and their characters in all, kept as a set inside the scan's expression.
+SET_TERMS, SET_BYTES = 50_000, 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,63 +39,71 @@ def words(text: str = "text") -> F.Column:
     return F.filter(found, lambda w: w != "")
 
 
+def split_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """key (one for each row), doc (a struct of the columns but the text, if there are any), words; a written table."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*rest).alias("doc") if rest else F.lit(None).cast("string").alias("doc"), words(f"`{text}`").alias("words")))
+
+
 def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """_ws array<string>, _items array: the distinct windows and the items that have them."""
-    w = benchmark.select(F.col(item_id).cast("string").alias("_item"), words(text).alias("_w")).where(F.size("_w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (window - 1)))
-    return w.select("_item", F.explode(F.transform(starts, lambda i: F.slice("_w", i, window))).alias("_ws")).groupBy("_ws").agg(F.collect_set("_item").alias("_items"))
-
-
-def _hits(docs: DataFrame, terms: DataFrame, keyed: bool) -> DataFrame:
-    """_term and, if keyed, _key and _pos of each occurrence of the terms."""
-    found = terms.limit(SET_TERMS + 1).collect()
-    key = [F.col("_key")] if keyed else []
-    if len(found) <= SET_TERMS:
-        literals = sorted(r[0] for r in found)
+    """win, ws array<string>, items array: the distinct windows and the items that have them."""
+    w = benchmark.select(F.col(item_id).cast("string").alias("item"), words(text).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))
+    found = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("ws")).groupBy("ws").agg(F.collect_set("item").alias("items"))
+    return written(found.withColumn("win", F.monotonically_increasing_id()))
+
+
+def _hits(base: DataFrame, terms: DataFrame, keyed: bool) -> DataFrame:
+    """term and, if keyed, key and pos of each occurrence of the terms."""
+    n, size = terms.agg(F.count("*"), F.sum(F.length("term"))).first()
+    key = ["key"] if keyed else []
+    if n <= SET_TERMS and (size or 0) <= SET_BYTES:
+        literals = sorted(r[0] for r in terms.collect())
         if not keyed:
-            return docs.select(F.explode(F.filter("_w", lambda w: w.isin(literals))).alias("_term"))
-        pairs = F.filter(F.transform("_w", lambda w, i: F.struct(F.when(w.isin(literals), w).alias("_term"), i.alias("_pos"))), lambda x: x["_term"].isNotNull())
-        return docs.select(*key, F.inline(pairs))
-    out = docs.select(*key, F.posexplode("_w").alias("_pos", "_term"))
-    return out.join(terms.withColumnRenamed(terms.columns[0], "_term"), "_term", "left_semi")
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents with _key, the same for equal rows only, and _w."""
-    return docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text))).withColumn("_w", words(text))
-
-
-def candidates(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_key, _start, _ws, _items where the windows' two rarest terms stand at their offsets."""
-    terms = windows.select(F.explode("_ws").alias("_term")).distinct()
-    of = _keyed(docs, doc_id, text)
-    df = written(_hits(of.select("_w"), terms, False).groupBy("_term").agg(F.count("*").alias("_n")))
-    # every window with offset and count of its two rarest terms; a window with a term that no text has can't occur
-    w = windows.withColumn("_win", F.xxhash64("_ws"))
-    ranked = w.select("_win", F.size("_ws").alias("_len"), F.posexplode("_ws").alias("_off", "_term")).join(small(df), "_term").groupBy("_win", "_len").agg(F.array_sort(F.collect_list(F.struct("_n", "_term", "_off"))).alias("_r")).where(F.size("_r") == F.col("_len"))
-    pick = written(ranked.select("_win", F.col("_r")[0]["_term"].alias("_t1"), F.col("_r")[0]["_off"].alias("_o1"), F.get("_r", F.lit(1))["_term"].alias("_t2"), F.get("_r", F.lit(1))["_off"].alias("_o2")))
-    rare = pick.select(F.explode(F.array("_t1", "_t2")).alias("_term")).where("_term is not null").distinct()
-    postings = written(_hits(of.select("_key", "_w"), rare, True))
-    p = pick.drop("_win").distinct()  # windows with the same terms at the same offsets share one intersection
-    one = postings.join(small(p), postings["_term"] == p["_t1"]).select("_key", (F.col("_pos") - F.col("_o1")).alias("_start"), "_t1", "_o1", "_t2", "_o2")
-    two = postings.join(small(p.where("_t2 is not null")), postings["_term"] == p["_t2"]).select("_key", (F.col("_pos") - F.col("_o2")).alias("_start"), "_t1", "_o1", "_t2", "_o2")
-    both = one.where("_t2 is not null").join(two, ["_key", "_start", "_t1", "_o1", "_t2", "_o2"], "left_semi").unionByName(one.where("_t2 is null")).where("_start >= 0").distinct()
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("_t1", "_o1", "_t2", "_o2")]
-    on = same[0] & same[1] & same[2] & same[3]
-    named = both.alias("c").join(small(pick).alias("k"), on).select("_key", "_start", "_win")
-    return named.join(small(w), "_win").select("_key", "_start", "_ws", "_items")
-
-
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with _w and _found, an array of (start, length, items) of each exact match."""
-    windows = written(windows_of(benchmark, item_id, item_text, window))
-    c = written(candidates(docs.select(doc_id, text), windows, doc_id, text).groupBy("_key").agg(F.collect_list(F.struct("_start", "_ws", "_items")).alias("_c")))
-    c = small(c.withColumnRenamed("_key", "_of"), 50_000)
-    out = _keyed(docs, doc_id, text).join(c, F.col("_key") == F.col("_of"), "left")
-    exact = F.filter("_c", lambda x: F.slice(F.col("_w"), x["_start"] + 1, F.size(x["_ws"])) == x["_ws"])
-    found = F.transform(exact, lambda x: F.struct(x["_start"].alias("start"), F.size(x["_ws"]).alias("length"), x["_items"].alias("items")))
+            return base.select(F.explode(F.filter("words", lambda w: w.isin(literals))).alias("term"))
+        pairs = F.filter(F.transform("words", lambda w, i: F.struct(F.when(w.isin(literals), w).alias("term"), i.alias("pos"))), lambda x: x["term"].isNotNull())
+        return base.select(*key, F.inline(pairs))
+    return base.select(*key, F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+
+
+def _rarest(base: DataFrame, windows: DataFrame, each: DataFrame) -> DataFrame:
+    """win, r: each window's terms by rising count; a window with a term that no text has can't occur.
+
+    `each` has win, n (the number of rows that the window has in it), term and any columns to keep with a term.
+    """
+    terms = written(windows.select(F.explode("ws").alias("term")).distinct())
+    df = small(written(_hits(base, terms, False).groupBy("term").agg(F.count("*").alias("df"))))
+    rest = [c for c in each.columns if c not in ("win", "n", "term")]
+    ranked = each.join(df, "term").groupBy("win", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term", *rest))).alias("r"))
+    return ranked.where(F.size("r") == F.col("n")).select("win", "r")
+
+
+def candidates(base: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, start, ws, items where the windows' two rarest terms stand at their offsets."""
+    ranked = _rarest(base, windows, windows.select("win", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "term")))
+    second = F.get("r", F.lit(1))
+    pick = written(ranked.select("win", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["off"].alias("o1"), second["term"].alias("t2"), second["off"].alias("o2")))
+    rare = written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct())
+    postings = written(_hits(base, rare, True))
+    p = written(pick.drop("win").distinct())  # windows with the same terms at the same offsets share one intersection
+    lists = ["key", "start", "t1", "o1", "t2", "o2"]
+    one = postings.join(small(p), F.col("term") == F.col("t1")).select("key", (F.col("pos") - F.col("o1")).alias("start"), *lists[2:])
+    two = postings.join(small(p.where("t2 is not null")), F.col("term") == F.col("t2")).select("key", (F.col("pos") - F.col("o2")).alias("start"), *lists[2:])
+    both = one.where("t2 is not null").join(two, lists, "left_semi").unionByName(one.where("t2 is null")).where("start >= 0").distinct()
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in lists[2:]]
+    named = both.alias("c").join(small(pick).alias("k"), same[0] & same[1] & same[2] & same[3]).select("key", "start", "win")
+    return named.join(small(windows), "win").select("key", "start", "ws", "items")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key, doc (a struct of the columns but the text), words and found, an array of (start, length, items) of each exact match."""
+    base = split_texts(docs, text)
+    c = candidates(base, windows_of(benchmark, item_id, item_text, window)).groupBy("key").agg(F.collect_list(F.struct("start", "ws", "items")).alias("c"))
+    out = base.join(small(written(c)), "key", "left")
+    exact = F.filter("c", lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["ws"])) == x["ws"])
+    found = F.transform(exact, lambda x: F.struct(x["start"].alias("start"), F.size(x["ws"]).alias("length"), x["items"].alias("items")))
     none = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
-    return out.select(*docs.columns, "_w", F.coalesce(found, none).alias("_found"))
+    return out.select("key", "doc", "words", F.coalesce(found, none).alias("found"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -101,44 +111,43 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "d
 
     A start is a place where that many words, or the whole of a shorter text, begin.  A word that the window repeats need stand once.
     """
-    w = written(windows_of(benchmark, window=window).withColumn("_win", F.xxhash64("_ws")))
-    terms = w.select(F.explode("_ws").alias("_term")).distinct()
-    of = _keyed(docs.select(doc_id, text), doc_id, text)
-    df = written(_hits(of.select("_w"), terms, False).groupBy("_term").agg(F.count("*").alias("_n")))
-    # every window with its two rarest distinct terms; a window with a term that no text has can't occur
-    each = w.select("_win", F.size("_ws").alias("_len"), F.size(F.array_distinct("_ws")).alias("_of"), F.explode(F.array_distinct("_ws")).alias("_term"))
-    ranked = each.join(small(df), "_term").groupBy("_win", "_len", "_of").agg(F.array_sort(F.collect_list(F.struct("_n", "_term"))).alias("_r")).where(F.size("_r") == F.col("_of"))
-    one = F.col("_r")[0]["_term"]
-    pick = written(ranked.select("_win", "_len", one.alias("_t1"), F.coalesce(F.get("_r", F.lit(1))["_term"], one).alias("_t2")))
-    postings = written(_hits(of.select("_key", "_w"), pick.select(F.explode(F.array("_t1", "_t2")).alias("_term")).distinct(), True).distinct())
+    w = windows_of(benchmark, window=window)
+    base = split_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    # every window with its two rarest distinct terms
+    ranked = _rarest(base, w, w.select("win", F.size(F.array_distinct("ws")).alias("n"), F.size("ws").alias("len"), F.explode(F.array_distinct("ws")).alias("term")))
+    one = F.col("r")[0]
+    pick = written(ranked.select("win", one["len"].alias("len"), one["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["term"], one["term"]).alias("t2")))
+    postings = written(_hits(base, written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()), True))
     # positions less than `reach` apart lie in the same stretch of `reach` words or in neighbouring ones
-    p = pick.select("_len", "_t1", "_t2").distinct().withColumn("_reach", F.col("_len") + 2 * slop)
-    stretch = F.floor(F.col("_pos") / F.col("_reach"))
-    a = postings.join(small(p), postings["_term"] == p["_t1"]).select("_key", "_len", "_t1", "_t2", "_reach", F.col("_pos").alias("_p1"), stretch.alias("_b"))
-    b = postings.join(small(p), postings["_term"] == p["_t2"]).select("_key", "_len", "_t1", "_t2", F.col("_pos").alias("_p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_b"))
-    both = a.join(b, ["_key", "_len", "_t1", "_t2", "_b"]).where(F.abs(F.col("_p1") - F.col("_p2")) < F.col("_reach"))
-    first = F.greatest(F.lit(0), F.greatest("_p1", "_p2") - F.col("_len") - (slop - 1))
-    starts = both.select("_key", "_len", "_t1", "_t2", F.explode(F.sequence(first, F.greatest(first, F.least("_p1", "_p2") + slop))).alias("_start")).distinct()
-    c = starts.join(small(pick), ["_len", "_t1", "_t2"]).select("_key", "_start", "_win").join(small(w), "_win")
-    last = F.greatest(F.lit(0), F.size("_w") - F.size("_ws"))
-    before = F.greatest(F.lit(0), F.col("_start") - slop)
-    near = F.slice("_w", before + 1, F.col("_start") + F.size("_ws") + slop - before)
-    hit = of.join(c, "_key").where(F.col("_start") <= last).where(F.size(F.array_except("_ws", near)) == 0)
-    return hit.select(doc_id, F.col("_start").alias("start"), F.col("_items").alias("items")).distinct()
+    p = written(pick.select("len", "t1", "t2").distinct().withColumn("reach", F.col("len") + 2 * slop))
+    stretch = F.floor(F.col("pos") / F.col("reach"))
+    a = postings.join(small(p), F.col("term") == F.col("t1")).select("key", "len", "t1", "t2", "reach", F.col("pos").alias("p1"), stretch.alias("b"))
+    b = postings.join(small(p), F.col("term") == F.col("t2")).select("key", "len", "t1", "t2", F.col("pos").alias("p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("b"))
+    both = a.join(b, ["key", "len", "t1", "t2", "b"]).where(F.abs(F.col("p1") - F.col("p2")) < F.col("reach"))
+    first = F.greatest(F.lit(0), F.greatest("p1", "p2") - F.col("len") - (slop - 1))
+    starts = both.select("key", "len", "t1", "t2", F.explode(F.sequence(first, F.greatest(first, F.least("p1", "p2") + slop))).alias("start")).distinct()
+    c = starts.join(small(pick), ["len", "t1", "t2"]).select("key", "start", "win").join(small(w), "win")
+    last = F.greatest(F.lit(0), F.size("words") - F.size("ws"))
+    before = F.greatest(F.lit(0), F.col("start") - slop)
+    near = F.slice("words", before + 1, F.col("start") + F.size("ws") + slop - before)
+    hit = base.join(c, "key").where(F.col("start") <= last).where(F.size(F.array_except("ws", near)) == 0)
+    return hit.select(F.col("doc.doc_id").alias(doc_id), "start", "items").distinct()
 
 
 def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated."""
-    places = F.flatten(F.transform("_found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("_found", lambda x: x["items"]))))
-    return found.select(F.col(doc_id).alias("doc_id"), F.size("_w").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), items.alias("items")).select(
+    places = F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
+    return found.select(F.col(f"doc.`{doc_id}`").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), items.alias("items")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents, all columns, in which no window occurs."""
-    return find(docs, benchmark).where(F.size("_found") == 0).select(*docs.columns)
+    # the text rides along in the struct beside its words
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return find(held, benchmark).where(F.size("found") == 0).select("doc.row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
