@@ -8,12 +8,14 @@ Spark's own readers and writers reach every store; `archive_files` gives the sam
 for .warc.gz files.
 
 Reader: inflates an archive member by member in steps of STEP bytes, so that no more
-than one record is held, frames each block by its Content-Length and verifies block
-and payload digests; a wrong digest or frame raises ValueError.
+than one record is held, frames each block by its Content-Length, whatever the record's
+type and the case of its header names, and verifies block and payload digests that are
+given; a wrong digest or frame raises ValueError.
 
 Defined cases: null html is an empty payload; a null id is written as `null` and never
 chosen over another id; rows that repeat the chosen id are responses all; an empty table gives no
-archive and no rows; columns beside id, url and html are not looked at.
+archive and no rows; a very long html is one record; columns beside id, url and html,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small, table, written
 
 ARCHIVE_BYTES = 8 << 20
 STEP = 64 << 10
@@ -68,24 +70,64 @@ def members(archive: bytes, step: int = STEP) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def fields_of(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+        else:
+            raise ValueError(f"bad header line {line[:80]!r}")
+    return out
+
+
+def verify(label: str | None, data: bytes, what: str) -> None:
+    """Checks a digest label such as sha1:BASE32 or sha256:hex; none, or one of an unknown kind, is not checked."""
+    kind, _, digest = (label or "").partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "sha512", "md5") or not digest:
+        return
+    raw = hashlib.new(kind, data).digest()
+    if digest.lower() != raw.hex() and digest.upper().rstrip("=") != base64.b32encode(raw).decode().rstrip("="):
+        raise ValueError(f"bad {what} digest")
+
+
 def parse(member: bytes) -> dict:
-    """A record's headers and block, framed by Content-Length, digests verified."""
+    """A record's fields (names in lower case), block and payload, framed by Content-Length, digests verified where they are given.
+
+    The payload of a request or response is what follows the HTTP header, that of a revisit isn't there,
+    that of other records is the block.  payload_bytes is the payload's length, for a revisit the one its HTTP header tells, if any.
+    """
     head, mark, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not mark or not lines[0].startswith("WARC/"):
         raise ValueError("no WARC header")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    n = int(fields["Content-Length"])
+    fields = fields_of(lines[1:])
+    name = fields.get("warc-record-id")
+    if not fields.get("content-length", "").isdigit():
+        raise ValueError(f"no length in {name}")
+    n = int(fields["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
-        raise ValueError(f"bad frame in {fields.get('WARC-Record-ID')}")
-    if fields["WARC-Block-Digest"] != "sha1:" + sha1_base32(block):
-        raise ValueError(f"bad block digest in {fields.get('WARC-Record-ID')}")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-    if fields["WARC-Type"] == "response" and (len(payload) != size or fields["WARC-Payload-Digest"] != "sha1:" + sha1_base32(payload)):
-        raise ValueError(f"bad payload in {fields.get('WARC-Record-ID')}")
-    return {"fields": fields, "payload": payload, "payload_bytes": size}
+        raise ValueError(f"bad frame in {name}")
+    verify(fields.get("warc-block-digest"), block, f"block ({name})")
+    kind, http = fields.get("warc-type", ""), None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        top, _, body = block.partition(b"\r\n\r\n")
+        http = fields_of(top.decode("latin-1").split("\r\n")[1:])
+    else:
+        body = block
+    size = int(http["content-length"]) if http and http.get("content-length", "").isdigit() else None
+    if kind == "revisit":
+        return {"fields": fields, "payload": None, "payload_bytes": size}
+    if kind == "response" and size is not None and "transfer-encoding" not in http and size != len(body):
+        raise ValueError(f"bad payload length in {name}")
+    verify(fields.get("warc-payload-digest"), body, f"payload ({name})")
+    return {"fields": fields, "payload": body, "payload_bytes": len(body)}
 
 
 def uri(page_id) -> str:
@@ -101,9 +143,12 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """page_id, url, payload, record_type, refers_to: what to write for each page."""
     src = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     src = src.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = src.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")) & (F.length("payload") >= min_bytes)
-    return src.join(first, "sha", "left").select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
+    # decided on (id, digest) alone; then joined back by both, so that the payloads of a popular page are spread by id
+    narrow = src.where(F.length("payload") >= min_bytes).select("page_id", "sha")
+    several = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("sha", "refers_to")
+    again = written(narrow.join(small(written(several)), "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).distinct().select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "refers_to"))
+    out = src.join(small(again), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    return out.select("page_id", "url", "payload", F.when(F.col("_sha").isNotNull(), "revisit").otherwise("response").alias("record_type"), "refers_to")
 
 
 def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -126,29 +171,40 @@ def write_archives(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """.warc.gz files as rows for read_archives."""
+    """.warc.gz files as rows for read_archives.  A file is one row, since gzip members have no index: of 2 GB at most, Spark's bound for a value."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row per record: record_id, target_uri, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits, or if not asked for)."""
+    """A row per record of any type: record_id, target_uri, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits, or if not asked for).
+
+    Fields that a record doesn't have are null.  A revisit whose response is in the same archive must have its payload digest.
+    """
     schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def read(batches):
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
         for batch in batches:
             for content in batch.column("content"):
-                rows, size = [], 0
+                rows, size, digests, revisits = [], 0, {}, []
                 for member in members(content.as_buffer()):
                     r = parse(member)
                     f = r["fields"]
-                    body = r["payload"] if payloads and f["WARC-Type"] == "response" else None
-                    rows.append((f["WARC-Record-ID"], f["WARC-Target-URI"], f["WARC-Type"], f.get("WARC-Refers-To"), f["WARC-Payload-Digest"].partition(":")[2], r["payload_bytes"], body))
-                    size += len(body or b"") + 200
+                    kind, label = f.get("warc-type"), f.get("warc-payload-digest")
+                    if kind == "response":
+                        digests[f.get("warc-record-id")] = label
+                    elif kind == "revisit":
+                        revisits.append((f.get("warc-refers-to"), label))
+                    rows.append((f.get("warc-record-id"), f.get("warc-target-uri"), kind, f.get("warc-refers-to"), label and label.partition(":")[2], r["payload_bytes"], r["payload"] if payloads else None))
+                    size += len(rows[-1][-1] or b"") + 200
                     if size > ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        yield batch_of(rows)
                         rows, size = [], 0
+                for of, label in revisits:
+                    if label and digests.get(of, label) != label:
+                        raise ValueError(f"a revisit of {of} has another digest")
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield batch_of(rows)
 
     return archives.select("content").mapInArrow(read, "record_id string, target_uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 
