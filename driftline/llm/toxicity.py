@@ -7,13 +7,16 @@ are to lexicon words, capitals, punctuation, obfuscation and length rates.  The
 all that a score is made from.
 
 Training uses at most SAMPLE labelled rows (the least by a hash of the id), never those
-with crc32(id) mod 4 = 2.  They fall in three parts by hash: one teaches the lexicon,
-one the trees, and one the calibration, so that none is judged on what it has learned.
+with crc32(id) mod 4 = 2.  They fall in FOLDS folds by hash and are cross-fitted: a row's
+features for training use the lexicon of the other folds, and its raw score for the
+calibration comes from trees of the other folds, so that no row is judged on what it
+has taught and all rows teach the lexicon, the trees and the calibration.
 
 Defined cases: null and empty texts have features of zero and get a score like any
-other; rows with one id share its label, the largest if there are several; a null id
-has no label and isn't held out; without labels every score is 0; an empty table gives
-no rows; other columns are not looked at.
+other; a very long text is read whole; rows with one id share its label, the largest if
+there are several, and of its texts the least in order teaches; a null id has no label and
+isn't held out; without labels in two folds every score is 0; an empty table gives no
+rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .common import table, written
 
 #: At most so many labelled rows train the model.
 SAMPLE = 24_000
-#: At most so many learned words, each in so many toxic texts of its part.
+FOLDS = 3
+#: At most so many learned words, each in so many toxic texts.
 LEARNED, LEAST_TEXTS = 400, 4
 THRESHOLD = 0.3
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.1, 32, 5
@@ -238,50 +242,63 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None
     """The model, from at most `sample` labelled rows that aren't held out; None without any."""
     of = F.xxhash64("doc_id")
     rows = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = rows.orderBy(of, "doc_id").limit(sample).select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)).cast("int").alias("part"))
-    rows = written(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
-    texts = written(texts.select("text", "toxic", "part"))
+    rows = written(rows.orderBy(of, "doc_id").limit(sample).select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")))
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text"))
+    texts = written(texts.select("text", "toxic", "fold"))
 
     def count(batches):
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            toxic, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "fold"))
             buf, off = K.texts(batch.column("text"))
             for a, b in K.pieces(off):
                 _, go, parts = normalised(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 cut = [np.searchsorted(i, go) for i, _ in parts]
                 uniq = [np.unique(np.concatenate([h[c[d] : c[d + 1]] for (_, h), c in zip(parts, cut)])) for d in range(b - a)]
-                h, inv = np.unique(np.concatenate(uniq), return_inverse=True)
-                n = np.bincount(inv, minlength=len(h))
-                t = np.bincount(inv, np.repeat(toxic[a:b], [len(u) for u in uniq]), len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["word", "n", "t"])
-
-    first = texts.where("part < 2")
-    sizes = first.agg(F.count("*"), F.sum("toxic")).first()
-    learned, weights = np.zeros(0, np.uint64), np.zeros(0)
-    if sizes[0] and sizes[1]:
-        found = first.select("text", "toxic").mapInArrow(count, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= LEAST_TEXTS)
-        clean = F.greatest(F.lit(1), F.lit(sizes[0] - sizes[1]))
-        odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
-        z = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
-        top = found.select("word", odds.alias("odds"), z.alias("z")).where("z > 3.5 and odds > 1").orderBy(F.desc("z"), "word").limit(LEARNED).collect()
-        if top:
-            h, w = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.odds for r in top])
-            order = np.argsort(h)
-            learned, weights = h[order], w[order]
+                each = np.concatenate(uniq)
+                many = [len(u) for u in uniq]
+                for f in range(FOLDS):
+                    mine = np.repeat(fold[a:b] == f, many)
+                    h, inv = np.unique(each[mine], return_inverse=True)
+                    n, t = np.bincount(inv, minlength=len(h)), np.bincount(inv, np.repeat(toxic[a:b], many)[mine], len(h))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), f, np.int32)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["word", "fold", "n", "t"])
+
+    sizes = {r.fold: (r.n, r.t) for r in texts.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
+    if len(sizes) < 2:
+        return None
+    by = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in "nt"]
+    found = texts.mapInArrow(count, "word long, fold int, n long, t long").groupBy("word").agg(*by)
+    found = written(found.where(sum((F.col(f"t{f}") for f in range(FOLDS)), F.lit(0)) >= LEAST_TEXTS))
+
+    def lexicon(folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and weights learned from these folds: those that their toxic texts have clearly more often."""
+        size, bad = (sum(sizes.get(f, (0, 0))[i] for f in folds) for i in (0, 1))
+        n, t = (sum((F.col(f"{c}{f}") for f in folds), F.lit(0)) for c in "nt")
+        odds = F.log((t + 0.5) / (bad + 1.0)) - F.log((n - t + 0.5) / (max(1, size - bad) + 1.0))
+        z = odds / F.sqrt(1 / (t + 0.5) + 1 / (n - t + 0.5))
+        top = found.where(t >= LEAST_TEXTS).select("word", odds.alias("odds"), z.alias("z")).where("z > 3.5 and odds > 1").orderBy(F.desc("z"), "word").limit(LEARNED).collect()
+        h, w = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.odds for r in top], float)
+        order = np.argsort(h)
+        return h[order], w[order]
+
+    every = list(range(FOLDS))
+    others = [lexicon([g for g in every if g != f]) for f in every]
 
     def feature_rows(batches):
         for batch in batches:
-            x = features(batch.column("text"), learned, weights)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic"), batch.column("part")], names=["x", "toxic", "part"])
-
-    got = texts.where("part >= 2").mapInArrow(feature_rows, "x array<double>, toxic int, part int").toPandas()
-    train, rest = got[got["part"] < 4], got[got["part"] == 4]
-    if not len(train) or not len(rest):
-        return None
-    model = boost(np.stack(train["x"].to_list()), train["toxic"].to_numpy(float))
-    curve = isotonic(raw_scores(model, np.stack(rest["x"].to_list())), rest["toxic"].to_numpy(float))
-    return model | {"curve": curve, "learned": learned, "weights": weights}
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            x = np.zeros((batch.num_rows, FEATURES))
+            for f in np.unique(fold):
+                mine = fold == f
+                x[mine] = features(batch.column("text").filter(pa.array(mine)), *others[f])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic"), batch.column("fold")], names=["x", "toxic", "fold"])
+
+    got = texts.mapInArrow(feature_rows, "x array<double>, toxic int, fold int").toPandas()
+    x, y, fold = np.stack(got["x"].to_list()), got["toxic"].to_numpy(float), got["fold"].to_numpy()
+    raw = np.zeros(len(y))
+    for f in sizes:
+        raw[fold == f] = raw_scores(boost(x[fold != f], y[fold != f]), x[fold == f])
+    learned, weights = lexicon(every)
+    return boost(x, y) | {"curve": isotonic(raw, y), "learned": learned, "weights": weights}
 
 
 def score(docs: DataFrame, model: dict | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
