@@ -20,7 +20,8 @@ Sets link when intersection / union >= 75 / 100; the result is the connected cla
 
 Defined cases: null and empty texts, and texts without words, have empty sets and are
 their own classes; repeated rows are copies; a null id never is a class's id unless it
-is alone; an empty table gives no rows; other columns are not looked at.
+is alone; a very long text is taken whole, and its set is sent in pieces as any other's; an
+empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import kernels as K
-from .common import table, written
+from .common import small, table, written
 
 SHINGLE, PERCENT = 5, 75
 #: A component of sets beyond this is dealt to several tasks; its inverted lists take some five times as much.
@@ -334,12 +335,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a number of their own, so ids may be null or repeat; a text without shingles is no copy.
     """
-    held = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    of = link(held.select("_row", "text"), "_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row")
-    kept = of.join(held.select("_row", order.alias("_order")), "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
-    late = of.join(kept, "_row", "left_anti").select("_row")
-    return held.join(late, "_row", "left_anti").select(*docs.columns)
+    held = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    of = link(held.select("row", F.col("doc.text").alias("text")), "row").where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("text"), "row")
+    kept = of.join(held.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order")["row"].alias("row"))
+    late = small(written(of.join(kept, "row", "left_anti").select("row")))
+    return held.join(late, "row", "left_anti").select("doc.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
