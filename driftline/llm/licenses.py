@@ -11,7 +11,8 @@ Every retrieved window is then verified: it matches if it holds at least PERCENT
 template's distinct shingles.
 
 Defined cases: null and empty texts match nothing; repeated rows are each scanned; an
-empty table gives no rows; other columns are not looked at.
+empty table gives no rows; very long texts are scanned whole; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -31,8 +31,8 @@ some 300 bytes each.
 
 Defined cases: null and empty texts have no bytes; texts under MATCH bytes lose none;
 rows with one id are one document, so that a repeated row loses nothing by its twin; a
-null id counts as larger than all; an empty table gives no rows; other columns are not
-looked at.
+null id counts as larger than all; very long texts are taken whole; an empty table gives
+no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
