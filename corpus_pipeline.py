@@ -3,14 +3,22 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet
 and read again as the next stage's documents.  All but the last keep the columns of
 `documents`.
+
+Defined cases, for every stage: null and empty texts fail the quality rules and so go first;
+a later stage that is given them keeps them as they are.  Very long texts are taken whole.
+Repeated rows are judged each by itself, and one of them stays after the join.  Columns
+beside doc_id, text and source may have any names and are kept as they are (the last stage
+leaves them); a null doc_id or source is one like any other.  An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftline.llm import bpe, decontaminate, jaccard, linededup, quality
-from driftline.llm.common import table, written
+from driftline.llm.common import delete, intermediate, new_path, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows the text."""
-    out = linededup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
-    n_chars = "case when n_removed > 0 then cast(length(text) as bigint) else n_chars end as n_chars"
-    return out.selectExpr(*[n_chars if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    out = linededup.removed(docs).where("n_removed = 0 or n_removed < n_lines")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +59,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; only the last stage's table stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        path = new_path(spark)
+        with intermediate(spark):
+            docs = written(stage(spark, docs, sf_dir), path=path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
 
 
