@@ -5,14 +5,21 @@ block of documents is joined to the counts of its own exploded n-grams, and the
 scores are summed per document.  With counts c and corpus size N, the score of a word w
 after u v is c(uvw)/c(uv) if c(uvw) >= MIN_COUNT, else ALPHA * c(vw)/c(v) if c(vw) >=
 MIN_COUNT, else ALPHA**2 * c(w)/N; a document's first words begin at the lower orders.
-An n-gram seen once is in no other text, so MIN_COUNT is 2.
+An n-gram seen once is in no other text, so MIN_COUNT is 2; 1 is the plain backoff.
+
+A row for each n-gram would take many times the corpus's size on disk, so the rows of
+the table and of the join are packed runs (`blocks`), in two rounds.  In the first one
+short keys tell which n-grams can't occur twice; a chance collision only lets an n-gram
+through to the second, which counts by all 64 bits of the hash.  An n-gram that is left
+out has the count 1.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased.  Counts cover whole texts of all
 documents.  The number of n-grams a hash range receives from a block is the block's
 distinct n-grams: frequent ones take one entry.
 
 Defined cases: null and texts without words get n_words 0 and a null score; repeated
-rows count twice; an empty table gives no rows; other columns are not looked at.
+rows count twice; very long texts are taken whole; an empty table gives no rows; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,13 +31,15 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import kernels as K
-from .common import table
+from .common import table, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 RANGE_BYTES = 12 << 20
+#: Bits beyond those that number the corpus's bytes, of the keys that tell which n-grams occur once.
+FILTER_BITS = 6
 
 
-def grams(texts, order: int, bits: int = 64) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def grams(texts, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For each order 1..n its gram hashes and their texts' offsets; and the numbers of words."""
     buf, off = K.texts(texts)
     out = [([], [np.zeros(1, np.int64)]) for _ in range(order)]
@@ -42,7 +51,7 @@ def grams(texts, order: int, bits: int = 64) -> tuple[list[tuple[np.ndarray, np.
         words.append(np.diff(wo))
         for k in range(order):
             at, so = K.window_starts(wo, k + 1)
-            out[k][0].append(K.gram_hash(h, at, k + 1) >> np.uint64(64 - bits))
+            out[k][0].append(K.gram_hash(h, at, k + 1))
             out[k][1].append(so[1:] + base[k])
             base[k] += int(so[-1])
     none = np.zeros(0, np.uint64)
@@ -68,22 +77,39 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     """doc_id, n_words, log_score (sum of natural logs), mean_log_score (null without words)."""
     packed = B.pack(docs, doc_id, text)
     units, size = B.totals(packed)
-    bits = 64  # nothing verifies the keys
-    kind = B.Keys(B.ranges(size, RANGE_BYTES), bits, np.int64, np.int64, _total, _totals)
-
-    def keys_of(ids, null, texts):
-        keys, counts = _table(grams(texts, order, bits)[0])
-        return keys, counts
-
-    answers = B.answer(B.send(packed, kind, keys_of), kind, units)
-    size = _corpus_words(packed)
-
-    def use(ids, null, texts, total):
-        found, words = grams(texts, order, bits)
-        keys = _table(found)[0]
+    n, bits = B.ranges(size, RANGE_BYTES), min(64, max(32, size.bit_length() + FILTER_BITS))
+    cut, step = np.uint64(64 - bits), B.top_step(n)
+    places, counts = B.Keys(n, bits, bool, bool, B.any_of, B.in_several), B.Keys(n, 64, np.int64, np.int64, _total, _totals)
+
+    def places_of(ids, null, texts):
+        keys, c = _table(grams(texts, order)[0])
+        short, start = np.unique(keys >> cut, return_index=True)
+        return short, (np.add.reduceat(c, start) > 1) if len(start) else np.zeros(0, bool)
+
+    shared = written(B.answer(B.send(packed, places, places_of), places, units), "none")
+
+    def counted(texts, hit):
+        """The block's n-grams, numbers of words, keys, counts, and which keys may be in the corpus more than once."""
+        found, words = grams(texts, order)
+        keys, c = _table(found)
+        return found, words, keys, c, hit[np.searchsorted(np.unique(keys >> cut), keys >> cut)] if len(keys) else np.zeros(0, bool)
+
+    def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        _, _, keys, c, often = counted(B.unpack(b["body"].iloc[0])[2], B.in_order(a, bool))
+        return pd.DataFrame([(b["block"].iloc[0], part, run) for part, run in counts.split(keys[often], c[often], step)], columns=["unit", "part", "run"])
+
+    runs = packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS)
+    tagged = shared.withColumn("kind", F.lit(0)).union(B.answer(runs, counts, units).withColumn("kind", F.lit(1)))
+    corpus = _corpus_words(packed)
+
+    def use(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        ids, null, texts = B.unpack(b["body"].iloc[0])
+        found, words, keys, _, often = counted(texts, B.in_order(a[a["kind"] == 0], bool))
+        total = np.ones(len(keys), np.int64)
+        total[often] = B.in_order(a[a["kind"] == 1], np.int64)
         c = [total[np.searchsorted(keys, h)] for h, _ in found]
         # score of the last word of each gram by the grams of its order or less
-        whole = np.log(np.maximum(c[0], 1)) - np.log(max(size, 1))
+        whole = np.log(np.maximum(c[0], 1)) - np.log(max(corpus, 1))
         starts = found[0][1][:-1]
         for k in range(1, order):
             h, so = found[k]
@@ -92,13 +118,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
             end = np.arange(len(h)) + np.repeat(starts - so[:-1], count) + k
             prev = np.arange(len(h)) + np.repeat(found[k - 1][1][:-1] - so[:-1], count)
             hit = c[k] >= min_count
-            s = np.where(hit, np.log(np.maximum(c[k], 1)) - np.log(np.maximum(c[k - 1][prev], 1)), np.log(alpha) + whole[end])
-            whole[end] = s
-        total_of = np.array([whole[a:b].sum() for a, b in zip(starts, found[0][1][1:])], float)
+            whole[end] = np.where(hit, np.log(np.maximum(c[k], 1)) - np.log(np.maximum(c[k - 1][prev], 1)), np.log(alpha) + whole[end])
+        total_of = np.array([whole[x:y].sum() for x, y in zip(starts, found[0][1][1:])], float)
         mean = np.divide(total_of, words, out=np.full(len(words), np.nan), where=words > 0)
         return pd.DataFrame({"doc_id": B.joined(ids, null), "n_words": words, "log_score": total_of, "mean_log_score": mean})
 
-    out = B.back(packed, answers, np.int64, use, "doc_id long, n_words long, log_score double, mean_log_score double")
+    out = packed.select("block", "body").groupBy("block").cogroup(tagged.groupBy("unit")).applyInPandas(use, "doc_id long, n_words long, log_score double, mean_log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("mean_log_score")))
 
 
