@@ -39,4 +39,4 @@ def finite(a) -> Column:
 
 def confident(best, second, max_distance: float, margin: float) -> Column:
     """The gate: near enough, and far enough ahead of the runner-up (none: infinitely far)."""
-    return (best <= max_distance) & ((F.coalesce(second, F.lit(float("inf"))) - best) >= margin)
+    return (best <= max_distance) & (F.round(F.coalesce(second, F.lit(float("inf"))) - best, 9) >= margin)

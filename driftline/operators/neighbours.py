@@ -1,26 +1,103 @@
 """Pair, nearest-neighbour and representative operators.
 
-Representatives are one row a cluster; they are broadcast only while their number is
-checked to be small.  All-pairs operators are the reference semantics of distance
-matrices and are meant for one stream's points.
+All-pairs operators work on tiles: some TILE points are one row with their vectors as a
+matrix, every pair of tiles is one matrix product, and only what an operator keeps of it
+(the k nearest of each row, or the pairs themselves where they are the result) leaves the
+task.  Representatives are one row a cluster, broadcast only while their bytes are counted
+to be few.  `pairs`, `mutual_reachability` and `affinity_graph` have results of n ** 2
+rows and are meant for one bounded stream.
 """
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 
-FEW = 20_000
+#: Bytes of a broadcast side, and points in a tile.
+FEW_BYTES = 16 << 20
+TILE = 1024
 
 
-def few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def few(df: DataFrame, dim: int = 64) -> DataFrame:
+    """The frame with a broadcast hint if its rows, counted with vectors of `dim`, have FEW_BYTES at most."""
+    most = FEW_BYTES // (8 * dim)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def tiles(points: DataFrame, size: int = TILE) -> DataFrame:
+    """tile int, tiles int, ids array<long>, body binary: the points by hash in tiles of about `size`, vectors as float64 rows."""
+    n = max(1, -(-points.count() // size))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
+        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "tiles": [n], "ids": [pdf["seq"].to_numpy()], "body": [x.tobytes()]})
+
+    tagged = points.select("seq", "embedding", F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int").alias("tile"))
+    return tagged.groupBy("tile").applyInPandas(pack, "tile int, tiles int, ids array<long>, body binary")
+
+
+def _tile_pairs(points: DataFrame) -> DataFrame:
+    """Each pair of tiles, a tile with itself included, as one row: ids, body, ids2, body2, same."""
+    t = tiles(points)
+    a = t.select("tile", "ids", "body", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"))
+    b = t.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("body").alias("body2"))
+    return a.join(b, "other").select("ids", "body", "ids2", "body2", (F.col("tile") == F.col("other")).alias("same")).repartition(F.xxhash64("ids", "ids2"))
+
+
+def _products(batches):
+    """(ids, ids of the other tile, clipped cosine distances, whether the tiles are the same) of each row."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids, ids2 = np.array(r["ids"]), np.array(r["ids2"])
+            x, y = np.frombuffer(r["body"]).reshape(len(ids), -1), np.frombuffer(r["body2"]).reshape(len(ids2), -1)
+            yield ids, ids2, 1 - np.clip(x @ y.T, -1, 1), r["same"]
 
 
 def pairs(points: DataFrame) -> DataFrame:
     """i < j and their clipped cosine distance."""
-    a, b = points.select(F.col("seq").alias("i"), F.col("embedding").alias("a")), points.select(F.col("seq").alias("j"), F.col("embedding").alias("b"))
-    return a.join(few(b), F.col("i") < F.col("j")).select("i", "j", V.cosine_distance("a", "b").alias("distance"))
+
+    def run(batches):
+        for ids, ids2, d, same in _products(batches):
+            for at in range(0, len(ids), 64):
+                i, j = np.meshgrid(ids[at : at + 64], ids2, indexing="ij")
+                use = i < j if same else np.ones(i.shape, bool)
+                low, high = np.minimum(i, j)[use], np.maximum(i, j)[use]
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(d[at : at + 64][use])], names=["i", "j", "distance"])
+
+    return _tile_pairs(points).mapInArrow(run, "i long, j long, distance double")
+
+
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """i, near array<struct<distance, j>>: the k nearest other points, ties by id.
+
+    A pair of tiles gives the k nearest of each of its rows and columns, so that n x k x tiles short
+    rows are shuffled and not n ** 2.
+    """
+
+    def least(ids, ids2, d):
+        """For each row its k least by (distance, id): a cut at the k-th least, then an order of what is left."""
+        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        r, c = np.nonzero(d <= kth[:, None])
+        order = np.lexsort((ids2[c], d[r, c], r))
+        r, c = r[order], c[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[rank < k], c[rank < k]
+        return ids[r], d[r, c], ids2[c]
+
+    def run(batches):
+        for ids, ids2, d, same in _products(batches):
+            if same:
+                d = np.where(ids[:, None] == ids2, np.inf, d)
+            for a, b, m in ((ids, ids2, d),) if same else ((ids, ids2, d), (ids2, ids, d.T)):
+                i, x, j = least(a, b, m)
+                use = np.isfinite(x)
+                yield pa.RecordBatch.from_arrays([pa.array(i[use]), pa.array(x[use]), pa.array(j[use])], names=["i", "distance", "j"])
+
+    found = _tile_pairs(points).mapInArrow(run, "i long, distance double, j long")
+    return found.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "j"))), 1, k).alias("near"))
 
 
 def both_ways(p: DataFrame) -> DataFrame:
@@ -35,25 +112,35 @@ def representatives(points: DataFrame, label: str = "label") -> DataFrame:
 
 
 def nearest_two(points: DataFrame, reps: DataFrame) -> DataFrame:
-    """seq, nearest, best, second: the two nearest representatives, ties by label."""
-    scored = points.select("seq", "embedding").join(few(reps.select(F.col("label").alias("r"), "rep"))).select("seq", F.struct(F.round(V.cosine_distance("embedding", "rep"), 9).alias("d"), "r").alias("x"))
-    two = scored.groupBy("seq").agg(F.slice(F.array_sort(F.collect_list("x")), 1, 2).alias("l"))
-    return two.select("seq", F.col("l")[0]["r"].alias("nearest"), F.col("l")[0]["d"].alias("best"), F.get("l", F.lit(1))["d"].alias("second"))
+    """seq, nearest, best, second: the two nearest representatives, ties by label.
+
+    While the representatives' bytes are few they are one broadcast array, and each point takes its two
+    least in place, without a shuffle; beyond, points and representatives are joined and aggregated.
+    """
+    scored = lambda e, l, rep: F.struct(F.round(V.cosine_distance(e, rep), 9).alias("d"), l.alias("r"))
+    most = FEW_BYTES // 512
+    if reps.limit(most + 1).count() <= most:
+        one = reps.agg(F.collect_list(F.struct("label", "rep")).alias("reps"))
+        two = points.select("seq", "embedding").join(F.broadcast(one)).select("seq", F.slice(F.array_sort(F.transform("reps", lambda x: scored("embedding", x["label"], x["rep"]))), 1, 2).alias("l"))
+    else:
+        each = points.select("seq", "embedding").join(reps).select("seq", scored("embedding", F.col("label"), F.col("rep")).alias("x"))
+        low = each.groupBy("seq").agg(F.min("x").alias("a"))
+        two = each.join(low, "seq").groupBy("seq").agg(F.first("a").alias("a"), F.min(F.when(F.col("x") != F.col("a"), F.col("x"))).alias("b")).select("seq", F.array_compact(F.array("a", "b")).alias("l"))
+    return two.select("seq", F.get("l", F.lit(0))["r"].alias("nearest"), F.get("l", F.lit(0))["d"].alias("best"), F.get("l", F.lit(1))["d"].alias("second"))
 
 
 def gate(points: DataFrame, reps: DataFrame, max_distance: float = 0.70, margin: float = 0.02) -> DataFrame:
     return nearest_two(points, reps).withColumn("confident", V.confident(F.col("best"), F.col("second"), max_distance, margin))
 
 
-def core_distances(p: DataFrame, k: int) -> DataFrame:
-    """i, core: distance to the k-th other point."""
-    ranked = both_ways(p).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("distance", "j")))
-    return ranked.where(F.col("r") == k).select("i", F.col("distance").alias("core"))
+def core_distances(points: DataFrame, k: int) -> DataFrame:
+    """i, core: distance to the k-th other point; none for points with fewer."""
+    return nearest(points, k).where(F.size("near") >= k).select("i", F.col("near")[k - 1]["distance"].alias("core"))
 
 
-def mutual_reachability(p: DataFrame, k: int) -> DataFrame:
-    c = few(core_distances(p, k))
-    out = p.join(c, "i").join(c.select(F.col("i").alias("j"), F.col("core").alias("core_j")), "j")
+def mutual_reachability(points: DataFrame, k: int) -> DataFrame:
+    c = few(core_distances(points, k), 2)
+    out = pairs(points).join(c, "i").join(c.select(F.col("i").alias("j"), F.col("core").alias("core_j")), "j")
     return out.select("i", "j", F.greatest("distance", "core", "core_j").alias("reach"))
 
 
@@ -79,13 +166,40 @@ def reinsert_noise(points: DataFrame, noise: DataFrame, factor: float = 1.5) ->
     """seq, label: noise points within factor x spread of their nearest cluster, else -1."""
     reps = representatives(points)
     near = nearest_two(noise, reps)
-    return near.join(few(spread(points, reps)), near["nearest"] == F.col("label")).select("seq", F.when(F.col("best") <= factor * F.col("spread"), F.col("nearest")).otherwise(-1).alias("label"))
+    return near.join(few(spread(points, reps)), near["nearest"] == F.col("label")).select("seq", F.when(F.round("best", 6) <= F.round(factor * F.col("spread"), 6), F.col("nearest")).otherwise(-1).alias("label"))
 
 
 def best_pair(points: DataFrame) -> DataFrame:
-    """label, i, j, similarity: the most similar pair of each label >= 0, ties by position."""
-    a = points.where("label >= 0").select("label", F.col("seq").alias("i"), F.col("embedding").alias("a"))
-    b = points.select("label", F.col("seq").alias("j"), F.col("embedding").alias("b"))
-    s = a.join(b, "label").where("i < j").select("label", "i", "j", F.round(V.dot("a", "b"), 6).alias("similarity"))
+    """label, i, j, similarity: the most similar pair of each label >= 0, ties by position.
+
+    Each point's nearest point of its label, by tiles within the label; a label is never one task's list of pairs.
+    """
+    sized = points.where("label >= 0")
+    n = sized.groupBy("label").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    tagged = sized.join(few(n, 2), "label").withColumn("tile", F.pmod(F.xxhash64("seq"), F.col("tiles")).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "tile": [pdf["tile"].iloc[0]], "tiles": [pdf["tiles"].iloc[0]], "ids": [pdf["seq"].to_numpy()], "body": [x.tobytes()]})
+
+    t = tagged.select("label", "tile", "tiles", "seq", "embedding").groupBy("label", "tile").applyInPandas(pack, "label long, tile int, tiles int, ids array<long>, body binary")
+    a = t.select("label", "tile", "ids", "body", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"))
+    b = t.select("label", F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("body").alias("body2"))
+    both = a.join(b, ["label", "other"]).select("label", "ids", "body", "ids2", "body2")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, ids2 = np.array(r["ids"]), np.array(r["ids2"])
+                x, y = np.frombuffer(r["body"]).reshape(len(ids), -1), np.frombuffer(r["body2"]).reshape(len(ids2), -1)
+                s = np.where(ids[:, None] != ids2, np.round(x @ y.T, 6), -np.inf)
+                p, q = np.nonzero(s == s.max())
+                if not len(p) or not np.isfinite(s.max()):
+                    continue
+                low, high = np.minimum(ids[p], ids2[q]), np.maximum(ids[p], ids2[q])
+                at = np.lexsort((high, low))[0]
+                yield pa.RecordBatch.from_pydict({"label": [r["label"]], "i": [int(low[at])], "j": [int(high[at])], "similarity": [float(s.max())]})
+
+    s = both.mapInArrow(run, "label long, i long, j long, similarity double")
     top = s.groupBy("label").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "i", "j")).alias("m"))
     return top.select("label", "m.i", "m.j", (-F.col("m.s")).alias("similarity"))
