@@ -2,14 +2,18 @@
 
 A method sees arrivals in order and keeps its state; batch replay and the streaming
 query share these classes.  Methods that only refit are evaluated where their labels
-are read (checkpoints), since a refit depends on the prefix alone; counters are exact.
+are read (checkpoints), since a refit depends on the prefix alone; counters are those of
+a method that refits at once.
 """
 
 import dataclasses
+import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import density as D
 
@@ -68,12 +72,15 @@ class Reps:
 
 
 class Method:
-    counters = ("recompute_count", "prediction_count", "distance_comparisons", "cheap_update_count", "full_trigger_count", "uncertainty_count", "local_update_count", "fallback_full_count", "backpressure_count")
+    counters = ("recompute_count", "prediction_count", "distance_comparisons", "cheap_update_count", "full_trigger_count", "uncertainty_count", "local_update_count", "fallback_full_count", "backpressure_count", "incremental_cluster_count", "risk_flush_count")
+    #: Whether an arrival's own time is maintenance; else maintenance keeps its own clock.
+    foreground_is_maintenance = True
 
     def __init__(self, config: Config):
         self.c, self.x, self.labels = config, [], []
         self.count = dict.fromkeys(self.counters, 0)
         self.max_pending = self.max_queue_depth = 0
+        self.maintenance: list[float] = []
 
     def data(self):
         return np.array(self.x, np.float32)
@@ -92,17 +99,16 @@ class Method:
 class Refit(Method):
     """Full-prefix refit on each arrival."""
 
-    def __init__(self, config, backend, action, counted=True):
+    def __init__(self, config, backend, action, counted=True, triggers=False):
         super().__init__(config)
-        self.backend, self.action, self.counted = backend, action, counted
+        self.backend, self.action, self.counted, self.triggers = backend, action, counted, triggers
 
     def update(self, v):
         self.x.append(v)
-        self.count["recompute_count"] += 1
         n = len(self.x)
-        if self.counted:
-            self.count["full_trigger_count"] += 1
-            self.count["distance_comparisons"] += n * (n - 1) // 2
+        self.count["recompute_count"] += 1
+        self.count["full_trigger_count"] += self.triggers
+        self.count["distance_comparisons"] += n * (n - 1) // 2 if self.counted else 0
         return self.action
 
     def evaluation(self):
@@ -128,7 +134,6 @@ class Incremental(Method):
     def update(self, v):
         self.x.append(v)
         self.count["recompute_count"] += 1
-        self.count["local_update_count"] += 1
         if len(self.x) >= max(2, self.c.least):
             self.count["distance_comparisons"] += len(self.x)
         return "incremental_mst_cluster"
@@ -137,6 +142,26 @@ class Incremental(Method):
         return list(range(len(self.x))), self.fit("fishdbc").tolist()
 
 
+class Observed(Method):
+    """As Incremental; the gate only watches the structure, it never replaces a decision of the tree."""
+
+    name = "adaptive_fishdbc"
+
+    def update(self, v):
+        self.x.append(v)
+        self.labels = self.fit("fishdbc").tolist()
+        self.count["recompute_count"] += 1
+        self.count["incremental_cluster_count"] += len(self.x) >= max(2, self.c.least)
+        reps = Reps(self.x, self.labels)
+        if len(self.x) <= self.c.tradeoff_warmup or not reps.sum:
+            return f"{self.name}_mst_update"
+        self.count["distance_comparisons"] += len(reps.sum)
+        if reps.gate(v, self.c)[1]:
+            return f"{self.name}_confident_mst"
+        self.count["uncertainty_count"] += 1
+        return f"{self.name}_risk_observed"
+
+
 class Tradeoff(Method):
     def update(self, v):
         self.x.append(v)
@@ -153,10 +178,11 @@ class Tradeoff(Method):
             self.labels.append(label)
             self.reps.add(label, v)
             self.count["cheap_update_count"] += 1
+            self.count["local_update_count"] += 1
             self.since += 1
             if not self.c.full_interval or self.since < self.c.full_interval:
                 return "tradeoff_cached_assign"
-        else:
+        elif self.reps.sum:
             self.count["uncertainty_count"] += 1
         self.refit()
         return "tradeoff_uncertainty_full"
@@ -181,7 +207,7 @@ class Batched(Method):
         self.labels = self.fit("fishdbc").tolist()
         self.reps, self.pending = Reps(self.x, self.labels), 0
         self.count["recompute_count"] += 1
-        self.count["local_update_count"] += 1
+        self.count["incremental_cluster_count"] += 1
 
     def update(self, v):
         self.x.append(v)
@@ -198,6 +224,7 @@ class Batched(Method):
         if sure:
             self.labels[-1] = label
             self.count["cheap_update_count"] += 1
+            self.count["local_update_count"] += 1
             self.max_pending = max(self.max_pending, self.pending)
             if self.pending < self.c.batch_size:
                 return f"{self.name}_buffer"
@@ -220,6 +247,7 @@ class Deferred(Method):
     """
 
     name = "adaptive_fishdbc_async"
+    foreground_is_maintenance = False
 
     def __init__(self, config):
         super().__init__(config)
@@ -227,11 +255,13 @@ class Deferred(Method):
 
     def commit(self):
         """Maintenance of all that is queued."""
+        began = time.perf_counter()
         labels = self.fit("fishdbc")
         if self.c.repair:
             labels = repair(self.data(), labels)
         self.count["recompute_count"] += 1
-        self.count["local_update_count"] += 1
+        self.count["incremental_cluster_count"] += 1
+        self.maintenance.append((time.perf_counter() - began) * 1000)
         self.commits.append((len(self.x) + self.c.commit_lag, labels.tolist()))
         self.held = 0
 
@@ -256,12 +286,14 @@ class Deferred(Method):
             if sure:
                 self.labels[-1] = label
                 self.count["cheap_update_count"] += 1
+                self.count["local_update_count"] += 1
                 self.pending += 1
                 self.max_pending = max(self.max_pending, self.pending)
                 force = self.pending >= self.c.batch_size
                 action = "buffer"
             else:
                 self.count["uncertainty_count"] += 1
+                self.count["risk_flush_count"] += 1
                 action, force = "risk_flush", True
             if force:
                 self.pending = 0
@@ -365,13 +397,18 @@ class Online(Method):
 
     def __init__(self, config):
         super().__init__(config)
-        self.centroids, self.n = [], []
+        self.centroids, self.n, self.seen = [], [], 0
 
     def update(self, v):
-        self.x.append(v)
+        self.seen += 1
         self.labels.append(self.place(v))
+        self.count["cheap_update_count"] += 1
+        self.count["local_update_count"] += 1
         return "diart_style_online_assign"
 
+    def evaluation(self):
+        return list(range(self.seen - len(self.labels), self.seen)), list(self.labels)
+
     def place(self, v):
         v = np.asarray(v, float)
         self.count["distance_comparisons"] += len(self.centroids)
@@ -388,7 +425,7 @@ class Online(Method):
 
 
 METHODS = {
-    "full_hdbscan": lambda c: Refit(c, "hdbscan", "full_recluster"),
+    "full_hdbscan": lambda c: Refit(c, "hdbscan", "full_recluster", triggers=True),
     "adaptive_tradeoff": Tradeoff,
     "adaptive_fishdbc": Batched,
     "adaptive_fishdbc_async": Deferred,
@@ -401,25 +438,30 @@ METHODS = {
     "sc_pna": lambda c: Refit(c, "sc_pna", "sc_pna_full_recluster"),
     "diart_style": Online,
 }
+#: Methods that no run asks for by default.
+MORE_METHODS = {"adaptive_fishdbc_observed": Observed}
+
+
+def method(name: str, config: Config) -> Method:
+    return (METHODS | MORE_METHODS)[name](config)
 
 TRACE = "stream_id string, method string, step int, action string, seq long, label long, pred long, " + ", ".join(f"{c} long" for c in Method.counters) + ", max_pending int, max_queue_depth int, last boolean"
 
 
 def replay(points: DataFrame, methods: list[str], config: Config = Config()) -> DataFrame:
     """The checkpoint rows of each (stream, method): every `checkpoint`-th step and the last, exploded by evaluated point."""
-    from pyspark.sql import functions as F
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        m = METHODS[pdf["method"].iloc[0]](config)
-        truth, out, n = pdf["label"].to_numpy(), [], len(pdf)
+        m = method(pdf["method"].iloc[0], config)
+        truth, seqs, out, n = pdf["label"].to_numpy(), pdf["seq"].to_numpy(), [], len(pdf)
         for step, v in enumerate(pdf["embedding"], 1):
             action = m.update(np.asarray(v, np.float32))
             if step == n:
                 m.finish()
             if step % config.checkpoint == 0 or step == n:
                 at, labels = m.evaluation()
-                out.append(pd.DataFrame({"step": step, "action": action, "seq": at, "label": truth[at], "pred": labels, **m.count, "max_pending": m.max_pending, "max_queue_depth": m.max_queue_depth, "last": step == n}))
+                out.append(pd.DataFrame({"step": step, "action": action, "seq": seqs[at], "label": truth[at], "pred": labels, **m.count, "max_pending": m.max_pending, "max_queue_depth": m.max_queue_depth, "last": step == n}))
         out = pd.concat(out) if out else pd.DataFrame(columns=[])
         out.insert(0, "method", pdf["method"].iloc[0])
         out.insert(0, "stream_id", pdf["stream_id"].iloc[0])
@@ -427,3 +469,63 @@ def replay(points: DataFrame, methods: list[str], config: Config = Config()) ->
 
     tagged = points.select("stream_id", "seq", "embedding", "label").withColumn("method", F.explode(F.array(*map(F.lit, methods))))
     return tagged.groupBy("stream_id", "method").applyInPandas(run, TRACE)
+
+
+SUMMARY = (
+    "stream_id string, method string, status string, error string, n_input long, wall_ms double, mean_step_ms double, p95_step_ms double, cold_start_steps_excluded int, steady_mean_step_ms double, steady_p95_step_ms double, "
+    + ", ".join(f"{c} long" for c in Method.counters)
+    + ", maintenance_ms_total double, maintenance_ms_max double, backpressure_ms_total double, max_pending int, max_queue_depth int, peak_python_mb double, "
+    "checkpoint_mean_active_points double, full_trigger_rate double, cheap_update_rate double, distance_comparisons_per_input double, final array<struct<seq:long,label:long,pred:long>>"
+)
+
+
+def measured(points: DataFrame, methods: list[str], config: Config = Config(), memory: bool = False) -> DataFrame:
+    """A row for each (stream, method): status, times of the arrivals, counters, rates and the final labels.
+
+    Methods that only refit do so on every arrival here, since its time is what is measured.  A method that
+    raises gives a row with status `failed` and the error, and the others go on.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        name, truth, n = pdf["method"].iloc[0], pdf["label"].to_numpy(), len(pdf)
+        out = {"stream_id": pdf["stream_id"].iloc[0], "method": name, "n_input": n}
+        began, steps, active = time.perf_counter(), [], []
+        if memory:
+            tracemalloc.start()
+        try:
+            m = method(name, config)
+            for step, v in enumerate(pdf["embedding"], 1):
+                at = time.perf_counter()
+                m.update(np.asarray(v, np.float32))
+                if isinstance(m, (Refit, Window, Incremental)):
+                    m.evaluation()
+                steps.append((time.perf_counter() - at) * 1000)
+                if step % config.checkpoint == 0 or step == n:
+                    # the points that a method holds, which is fewer than it has seen where it drops or fuses some
+                    active.append(min(step, config.cap) if isinstance(m, Window) else len(m.x) if m.x else step)
+            m.finish()
+            seqs = pdf["seq"].to_numpy()
+            at, labels = m.evaluation()
+            own = steps if m.foreground_is_maintenance else m.maintenance
+            steady = steps[1:] if n > 1 else steps
+            out |= {
+                "status": "ok", "wall_ms": (time.perf_counter() - began) * 1000, "mean_step_ms": np.mean(steps), "p95_step_ms": np.percentile(steps, 95), "cold_start_steps_excluded": int(n > 1),
+                "steady_mean_step_ms": np.mean(steady), "steady_p95_step_ms": np.percentile(steady, 95), **m.count, "maintenance_ms_total": sum(own), "maintenance_ms_max": max(own, default=0.0), "backpressure_ms_total": 0.0,
+                "max_pending": m.max_pending, "max_queue_depth": m.max_queue_depth, "checkpoint_mean_active_points": np.mean(active), "full_trigger_rate": m.count["full_trigger_count"] / n,
+                "cheap_update_rate": m.count["cheap_update_count"] / n, "distance_comparisons_per_input": m.count["distance_comparisons"] / n,
+                "final": [{"seq": int(seqs[i]), "label": int(truth[i]), "pred": int(p)} for i, p in zip(at, labels)],
+            }
+            if memory:
+                out["peak_python_mb"] = tracemalloc.get_traced_memory()[1] / (1 << 20)
+        except Exception as e:  # a failed method is a row, as its error
+            out |= {"status": "failed", "error": f"{type(e).__name__}: {e}", "wall_ms": (time.perf_counter() - began) * 1000}
+        finally:
+            if memory:
+                tracemalloc.stop()
+        names = [c.split()[0] for c in SUMMARY.split("final ")[0].rstrip(", ").split(", ")] + ["final"]
+        whole = {*Method.counters, "n_input", "cold_start_steps_excluded", "max_pending", "max_queue_depth"}
+        return pd.DataFrame({c: pd.array([out.get(c)], "Int64") if c in whole else [out.get(c)] for c in names})
+
+    tagged = points.select("stream_id", "seq", "embedding", "label").withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    return tagged.groupBy("stream_id", "method").applyInPandas(run, SUMMARY)
