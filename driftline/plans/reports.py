@@ -3,15 +3,67 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROLES = {"full_hdbscan": "baseline", "fishdbc": "incremental", "window_hdbscan": "bounded", "compressed_hdbscan": "bounded"}
+#: What each method stands for in a comparison.
+ROLES = {
+    "full_hdbscan": "full_reference",
+    "adaptive_tradeoff": "adaptive_tradeoff_candidate",
+    "adaptive_fishdbc": "proposed_risk_gated_fishdbc",
+    "adaptive_fishdbc_async": "proposed_async_risk_gated_fishdbc",
+    "compressed_hdbscan": "cache_compression_candidate",
+    "window_hdbscan": "bounded_window_baseline",
+    "fishdbc": "incremental_mst_candidate",
+    "approx_predict": "fixed_model_prediction_baseline",
+    "fast_hdbscan": "static_backend_control",
+    "ahc": "classic_agglomerative_baseline",
+    "sc_pna": "ICASSP2025_spectral_baseline",
+    "diart_style": "DIART_style_online_baseline",
+}
+
+
+def role_of(method: str = "method") -> F.Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col(method)], F.lit("candidate"))
 
 
 def compare(rows: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:
     """Every method's metrics and their differences to the baseline's one row; null if either is missing."""
     base = rows.where(F.col("method") == baseline).limit(1).select(*[F.col(m).alias(f"_{m}") for m in metrics])
     others = rows.where(F.col("method") != baseline).unionByName(rows.where(F.col("method") == baseline).limit(1))
-    role = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[F.col("method")], F.lit("candidate"))
-    return others.join(F.broadcast(base), how="left").select("method", role.alias("role"), *metrics, *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in metrics])
+    return others.join(F.broadcast(base), how="left").select("method", role_of().alias("role"), *metrics, *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in metrics])
+
+
+def compare_to_full(full: DataFrame, candidates: DataFrame, metrics: list[str], counters: list[str] = (), baseline: str = "full_hdbscan") -> DataFrame:
+    """The baseline's summary, which must be one row, and the candidates' without any of the baseline: status, speed-up, counters, metrics and deltas.
+
+    The speed-up is the baseline's steady mean over the method's own, 0 for a failed method or one without a mean.
+    """
+    one = full.where(F.col("method") == baseline)
+    if one.limit(2).count() != 1:
+        raise ValueError(f"there must be one summary of {baseline}")
+    held = ["steady_mean_step_ms", "steady_p95_step_ms", *metrics]
+    base = one.select(*[F.col(c).alias(f"_{c}") for c in held])
+    mean = F.coalesce("steady_mean_step_ms", F.lit(0.0))
+    speed = F.when((F.col("status") == "ok") & (mean > 0), F.col("_steady_mean_step_ms") / F.nullif(mean, F.lit(0.0))).otherwise(0.0)
+    rows = one.unionByName(candidates.where(F.col("method") != baseline)).join(F.broadcast(base))  # one row
+    return rows.select(
+        "method", role_of().alias("role"), "status", mean.alias("steady_mean_step_ms"), F.col("_steady_mean_step_ms").alias("full_steady_mean_step_ms"), speed.alias("speedup_vs_full"),
+        F.coalesce("steady_p95_step_ms", F.lit(0.0)).alias("steady_p95_step_ms"), F.col("_steady_p95_step_ms").alias("full_steady_p95_step_ms"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
+        *metrics, *[(F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in metrics],
+    )
+
+
+def lookup(rows: DataFrame, on: str, methods: list[str], metrics: list[str]) -> DataFrame:
+    """A row for each `on` (a workload, an interval, a seed) with each method's metrics side by side: method_metric."""
+    return rows.where(F.col("method").isin(methods)).groupBy(on).agg(*[F.first(F.when(F.col("method") == m, F.col(x)), True).alias(f"{m}_{x}") for m in methods for x in metrics])
+
+
+def sensitivity(rows: DataFrame, down: str, across: str, metric: str) -> DataFrame:
+    """A matrix of a metric by two parameters: a row for each value of `down`, a column for each of `across`."""
+    return rows.groupBy(down).pivot(across).agg(F.first(metric))
+
+
+def extremes(rows: DataFrame, value: str) -> DataFrame:
+    """Mean, 95th percentile, least and largest of a column, as one row."""
+    return rows.agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
 def by_method(rows: DataFrame, metrics: list[str], key: str = "method") -> DataFrame:
