@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .functions import vector as V
 from .operators import density, metrics, neighbours
-from .plans import methods, reports
+from .plans import harness, methods, reports
 from .sources import streams
 
 QUERIES, SQL = {}, {}
@@ -73,19 +73,24 @@ def representatives(spark, sf):
 @query("SELECT seq, nearest, round(best, 6) AS best, round(second, 6) AS second, best <= 0.75 AND round(second - best, 9) >= 0.02 AS confident FROM two")
 def confidence_gate(spark, sf):
     p = _points(spark, sf)
-    two = neighbours.nearest_two(p, neighbours.representatives(p))
-    sure = (F.col("best") <= 0.75) & (F.round(F.col("second") - F.col("best"), 9) >= 0.02)
-    return two.select("seq", "nearest", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), sure.alias("confident"))
+    out = neighbours.gate(p, neighbours.representatives(p), 0.75)
+    return out.select("seq", "nearest", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"), "confident")
 
 
 @query("SELECT i, round(distance, 6) AS core FROM (SELECT i, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM both_ways) WHERE r = 2")
 def knn_core_distance(spark, sf):
-    return neighbours.core_distances(neighbours.pairs(_points(spark, sf)), 2).select("i", F.round("core", 6).alias("core"))
+    return neighbours.core_distances(_points(spark, sf), 2).select("i", F.round("core", 6).alias("core"))
 
 
-@query(", core AS (SELECT i, distance AS c FROM (SELECT i, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM both_ways) WHERE r = 2) SELECT p.i, p.j, round(greatest(distance, a.c, b.c), 6) AS reach FROM pairs p JOIN core a ON a.i = p.i JOIN core b ON b.i = p.j")
+@query("SELECT i, round(distance, 6) AS distance, r::INT AS r FROM (SELECT i, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM both_ways) WHERE r <= 5")
+def nearest_neighbours(spark, sf):
+    near = neighbours.nearest(_points(spark, sf), 5)
+    return near.select("i", F.posexplode("near").alias("r", "x")).select("i", F.round("x.distance", 6).alias("distance"), (F.col("r") + 1).alias("r"))
+
+
+@query(", near AS MATERIALIZED (SELECT i, j, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM both_ways), core AS MATERIALIZED (SELECT i, distance AS c FROM near WHERE r = 2) SELECT p.i, p.j, round(greatest(distance, a.c, b.c), 6) AS reach FROM near p JOIN core a ON a.i = p.i JOIN core b ON b.i = p.j WHERE p.i < p.j")
 def mutual_reachability(spark, sf):
-    return neighbours.mutual_reachability(neighbours.pairs(_points(spark, sf)), 2).select("i", "j", F.round("reach", 6).alias("reach"))
+    return neighbours.mutual_reachability(_points(spark, sf), 2).select("i", "j", F.round("reach", 6).alias("reach"))
 
 
 _GRAPH = ", top AS (SELECT i, j, w FROM (SELECT i, j, (2 - distance) / 2 AS w, row_number() OVER (PARTITION BY i ORDER BY (2 - distance) / 2 DESC, j) AS r, count(*) OVER (PARTITION BY i) AS n FROM both_ways) WHERE r <= greatest(1, ceil(round(n * 0.2, 9)))), graph AS (SELECT i, j, max(w) AS w FROM (SELECT i, j, w FROM top UNION ALL SELECT j, i, w FROM top) GROUP BY i, j) "
@@ -107,12 +112,11 @@ def cluster_spread_p95(spark, sf):
     return neighbours.spread(p, neighbours.representatives(p)).select("label", F.round("spread", 6).alias("spread"))
 
 
-@query("SELECT seq, CASE WHEN round(best, 6) <= round(1.02 * spread, 6) THEN nearest ELSE -1 END AS label FROM two JOIN spread ON label = nearest WHERE seq % 5 = 0")
+@query("SELECT seq, CASE WHEN round(best, 6) <= round(1.5 * spread, 6) THEN nearest ELSE -1 END AS label FROM (SELECT seq, min(r) FILTER (k = 1) AS nearest, min(d) FILTER (k = 1) AS best FROM (SELECT seq, r, d, row_number() OVER (PARTITION BY seq ORDER BY d, r) AS k FROM scored WHERE r < 8 AND seq IN (SELECT seq FROM points WHERE label >= 8)) GROUP BY seq) JOIN spread ON label = nearest")
 def noise_reinsertion(spark, sf):
+    """The points of the labels from 8 on are taken for noise, and judged against the clusters of the others."""
     p = _points(spark, sf)
-    reps = neighbours.representatives(p)
-    near = neighbours.nearest_two(p.where("seq % 5 = 0"), reps).join(neighbours.few(neighbours.spread(p, reps)), F.col("nearest") == F.col("label"))
-    return near.select("seq", F.when(F.round("best", 6) <= F.round(1.02 * F.col("spread"), 6), F.col("nearest")).otherwise(-1).alias("label"))
+    return neighbours.reinsert_noise(p.where("label < 8"), p.where("label >= 8"))
 
 
 @query()
@@ -157,7 +161,15 @@ def noise_singletons(spark, sf):
     return metrics.noise_singletons(_labelled(spark, sf))
 
 
-@query()
+def _matching_sql(name: str, singles: str) -> str:
+    """The largest matching of labels and clusters by trying all: labels in order, each with a free cluster, a singleton or none."""
+    return f"""{name} AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, 0::BIGINT AS s UNION ALL
+SELECT i + 1, CASE WHEN o.pred >= 0 THEN list_append(used, o.pred) ELSE used END, s + o.n FROM {name} JOIN (SELECT k, pred, n FROM c JOIN lab USING (label) WHERE pred >= 0 UNION ALL SELECT k, -1, {singles} FROM lab) o ON o.k = i + 1 WHERE NOT list_contains(used, o.pred))"""
+
+
+@query(f"""WITH RECURSIVE {_ROWS}, lab AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM c)),
+{_matching_sql("strict", "0")}, {_matching_sql("single", "CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.label = lab.label AND pred < 0) THEN 1 ELSE 0 END")}
+SELECT round((SELECT max(s) FROM strict) / (SELECT sum(n) FROM c), 9) AS cluster_accuracy, round((SELECT max(s) FROM strict) / (SELECT sum(n) FROM c WHERE pred >= 0), 9) AS cluster_accuracy_non_noise, round((SELECT max(s) FROM single) / (SELECT sum(n) FROM c), 9) AS cluster_accuracy_noise_singletons""", False)
 def hungarian_accuracy(spark, sf):
     return metrics.accuracy(_labelled(spark, sf))
 
@@ -181,6 +193,53 @@ def compare_to_baseline(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("ari_delta", "acc_delta")})
 
 
+#: Event types in order stand for these methods; the last one's run has failed.
+_NAMES = ["full_hdbscan", "fishdbc", "window_hdbscan", "own_method", "diart_style"]
+_STEPS = f"""t AS (SELECT event_type, min(event_id) AS f, [{", ".join(f"'{m}'" for m in _NAMES)}][dense_rank() OVER (ORDER BY event_type)] AS method FROM events GROUP BY event_type),
+s AS (SELECT method, CASE WHEN method = 'diart_style' THEN 'failed' ELSE 'ok' END AS status, round(avg(value) FILTER (event_id > f), 6) AS mean, round(quantile_cont(value, 0.95) FILTER (event_id > f), 6) AS p95, count(*) AS recompute_count, round(avg(value), 6) AS ari, round(stddev_pop(value), 6) AS nmi FROM events JOIN t USING (event_type) GROUP BY method),
+b AS (SELECT * FROM s WHERE method = 'full_hdbscan')"""
+_ROLE_SQL = "CASE s.method " + " ".join(f"WHEN '{m}' THEN '{r}'" for m, r in reports.ROLES.items()) + " ELSE 'candidate' END"
+
+
+def _event_summaries(spark, sf):
+    e = _t(spark, sf, "events")
+    types = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    named = e.withColumn("method", F.create_map(*[F.lit(x) for kv in zip(types, _NAMES) for x in kv])[F.col("event_type")])
+    times = reports.latency(named, "method", "value", "event_id").select("method", F.col("steady_mean").alias("steady_mean_step_ms"), F.col("steady_p95").alias("steady_p95_step_ms"))
+    rows = named.groupBy("method").agg(F.count("*").alias("recompute_count"), F.round(F.avg("value"), 6).alias("ari"), F.round(F.stddev_pop("value"), 6).alias("nmi"))
+    return rows.join(times, "method").withColumn("status", F.when(F.col("method") == "diart_style", "failed").otherwise("ok"))
+
+
+@query(f"""WITH {_STEPS} SELECT s.method, {_ROLE_SQL} AS role, s.status, s.mean AS steady_mean_step_ms, b.mean AS full_steady_mean_step_ms, round(CASE WHEN s.status = 'ok' AND s.mean > 0 THEN b.mean / s.mean ELSE 0 END, 6) AS speedup_vs_full,
+s.p95 AS steady_p95_step_ms, b.p95 AS full_steady_p95_step_ms, s.recompute_count, s.ari, s.nmi, round(s.ari - b.ari, 6) AS delta_ari, round(s.nmi - b.nmi, 6) AS delta_nmi FROM s, b""", False)
+def compare_to_full(spark, sf):
+    s = _event_summaries(spark, sf)
+    out = reports.compare_to_full(s, s, ["ari", "nmi"], ["recompute_count"])
+    return out.withColumns({c: F.round(c, 6) for c in ("speedup_vs_full", "delta_ari", "delta_nmi")})
+
+
+@query("SELECT user_id % 20 AS seed, " + ", ".join(f"round(avg(value) FILTER (event_type = t[{i + 1}]), 6) AS {m}_ari, count(*) FILTER (event_type = t[{i + 1}]) AS {m}_n" for i, m in enumerate(_NAMES[:3])) + " FROM events, (SELECT list(DISTINCT event_type ORDER BY event_type) AS t FROM events) GROUP BY seed", False)
+def seed_lookup(spark, sf):
+    """Three methods side by side by seed."""
+    e = _t(spark, sf, "events")
+    types = sorted(r[0] for r in e.select("event_type").distinct().collect())[:3]
+    named = e.where(F.col("event_type").isin(types)).withColumn("method", F.create_map(*[F.lit(x) for kv in zip(types, _NAMES) for x in kv])[F.col("event_type")])
+    rows = named.groupBy((F.col("user_id") % 20).alias("seed"), "method").agg(F.round(F.avg("value"), 6).alias("ari"), F.count("*").alias("n"))
+    out = reports.lookup(rows, "seed", _NAMES[:3], ["ari", "n"])
+    return out.withColumns({f"{m}_n": F.coalesce(f"{m}_n", F.lit(0)) for m in _NAMES[:3]})
+
+
+@query("SELECT event_type, " + ", ".join(f"round(avg(value) FILTER (user_id % 4 = {i}), 6) AS \"{i}\"" for i in range(4)) + " FROM events GROUP BY event_type", False)
+def sensitivity_matrix(spark, sf):
+    rows = _t(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 4).alias("interval")).agg(F.round(F.avg("value"), 6).alias("ari"))
+    return reports.sensitivity(rows, "event_type", "interval", "ari")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max FROM events", False)
+def value_extremes(spark, sf):
+    return reports.extremes(_t(spark, sf, "events"), "value")
+
+
 @query("SELECT event_type, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM events GROUP BY event_type", False)
 def multiseed_summary(spark, sf):
     return reports.by_method(_t(spark, sf, "events"), ["value"], "event_type")
@@ -214,20 +273,74 @@ for _b in density.BACKENDS:
     query()(_clusters(_b))
 
 
+#: Online assignment step by step: centroids, their sizes, the arrival's cluster and the distances so far.
+_ONLINE = f"""{POINTS}, p AS MATERIALIZED (SELECT 's' || (seq // {streams.SESSION}) AS sid, seq, label, e, row_number() OVER (PARTITION BY seq // {streams.SESSION} ORDER BY seq) AS k FROM points),
+f AS (SELECT sid, k, [e] AS c, [1] AS n, 0::BIGINT AS pred, 0::BIGINT AS cmp FROM p WHERE k = 1 UNION ALL
+SELECT sid, k, CASE WHEN near THEN list_concat(list_append(c[1:i - 1], list_transform(moved, lambda x: x / greatest(sqrt(list_dot_product(moved, moved)), 1e-12))), c[i + 1:]) ELSE list_append(c, e) END,
+CASE WHEN near THEN list_concat(list_append(n[1:i - 1], n[i] + 1), n[i + 1:]) ELSE list_append(n, 1) END, CASE WHEN near THEN i - 1 ELSE len(c) END, cmp + len(c)
+FROM (SELECT *, d[i] <= 0.7 AS near, list_transform(c[i], lambda x, j: (x * n[i] + e[j]) / (n[i] + 1)) AS moved FROM (SELECT *, list_position(d, list_min(d)) AS i
+FROM (SELECT f.sid, p.k, f.c, f.n, f.cmp, p.e, list_transform(f.c, lambda x: 1 - list_dot_product(x, p.e)) AS d FROM f JOIN p ON p.sid = f.sid AND p.k = f.k + 1)))),
+placed AS MATERIALIZED (SELECT p.sid AS stream_id, p.seq, p.label, f.pred, f.cmp, p.k FROM f JOIN p ON p.sid = f.sid AND p.k = f.k)"""
+
+_ONLINE_LABELS = f"WITH RECURSIVE {_ONLINE} SELECT stream_id, seq, label, pred, 0::BIGINT AS recompute_count, max(cmp) OVER w AS distance_comparisons, count(*) OVER w AS cheap_update_count, 0::BIGINT AS uncertainty_count FROM placed WINDOW w AS (PARTITION BY stream_id)"
+
+
 def _method(name):
     def run(spark, sf):
-        return methods.replay(_points(spark, sf), [name]).where("last").select("stream_id", "seq", "label", "pred", "recompute_count", "distance_comparisons", "cheap_update_count", "uncertainty_count")
+        """The last labels of each stream, and the counters; nothing is evaluated on the way."""
+        rows = methods.replay(_points(spark, sf), [name], methods.Config(checkpoint=1 << 30))
+        return rows.select("stream_id", "seq", "label", "pred", "recompute_count", "distance_comparisons", "cheap_update_count", "uncertainty_count")
 
     run.__name__ = f"method_{name}"
     return run
 
 
 for _m in methods.METHODS:
-    query()(_method(_m))
+    query(_ONLINE_LABELS if _m == "diart_style" else None, False)(_method(_m))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ONLINE}, c AS (SELECT stream_id, label, pred, count(*) AS n FROM placed GROUP BY ALL), t AS (SELECT stream_id, label, sum(n) AS a FROM c GROUP BY ALL), q AS (SELECT stream_id, pred, sum(n) AS b FROM c GROUP BY ALL),
+x AS (SELECT stream_id, sum(n)::DOUBLE AS n, sum(n * (n - 1) / 2) AS tp FROM c GROUP BY stream_id), y AS (SELECT stream_id, sum(a * (a - 1) / 2) AS same, -sum(a / n * ln(a / n)) AS hu FROM t JOIN x USING (stream_id) GROUP BY stream_id),
+z AS (SELECT stream_id, sum(b * (b - 1) / 2) AS merged, -sum(b / n * ln(b / n)) AS hv, count(*) AS cluster_count FROM q JOIN x USING (stream_id) GROUP BY stream_id),
+i AS (SELECT stream_id, sum(c.n / x.n * ln(c.n * x.n / (a::DOUBLE * b))) AS mi FROM c JOIN t USING (stream_id, label) JOIN q USING (stream_id, pred) JOIN x USING (stream_id) GROUP BY stream_id)
+SELECT stream_id, round(tp / greatest(1, merged), 9) AS pairwise_precision, round(tp / greatest(1, same), 9) AS pairwise_recall, round((merged - tp) / (n * (n - 1) / 2 - same), 9) AS false_merge_rate, 1.0::DOUBLE AS coverage,
+round((tp - same * merged / (n * (n - 1) / 2)) / ((same + merged) / 2 - same * merged / (n * (n - 1) / 2)), 9) AS ari, round(greatest(0, mi) / ((hu + hv) / 2), 9) AS nmi, cluster_count FROM x JOIN y USING (stream_id) JOIN z USING (stream_id) JOIN i USING (stream_id)""", False)
 def online_assign_quality(spark, sf):
-    """The flagship: normalise, assign online in arrival order, contingency, quality."""
+    """The flagship: normalise, assign online in arrival order, contingency, quality of each stream."""
     rows = methods.replay(_points(spark, sf), ["diart_style"], methods.Config(checkpoint=1 << 30))
-    return metrics.quality(rows.where("last"))
+    return metrics.quality(rows, ("stream_id",))
+
+
+_RUN = ["window_hdbscan", "fishdbc", "approx_predict", "diart_style"]
+
+
+@query(f"""WITH RECURSIVE {_ONLINE}, r AS (SELECT stream_id, count(*) AS n, max(cmp) AS cmp FROM placed GROUP BY stream_id), k AS (SELECT stream_id, avg(k) AS held, avg(least(k, 100)) AS windowed FROM placed JOIN r USING (stream_id) WHERE k % 10 = 0 OR k = n GROUP BY stream_id),
+m AS (SELECT unnest([{", ".join(f"'{m}'" for m in _RUN)}]) AS method),
+s AS (SELECT stream_id, method, n, CASE method WHEN 'approx_predict' THEN (n >= 20)::BIGINT WHEN 'diart_style' THEN 0 ELSE n END AS recompute_count, CASE method WHEN 'approx_predict' THEN greatest(0, n - 20) ELSE 0 END AS prediction_count,
+CASE method WHEN 'fishdbc' THEN greatest(0, n * (n + 1) // 2 - 6) WHEN 'diart_style' THEN cmp ELSE 0 END AS d, CASE method WHEN 'diart_style' THEN n ELSE 0 END AS cheap, CASE method WHEN 'window_hdbscan' THEN windowed ELSE held END AS held, CASE method WHEN 'window_hdbscan' THEN least(n, 100) ELSE n END AS evaluated FROM r JOIN k USING (stream_id), m)
+SELECT stream_id, method, 'ok' AS status, n AS n_input, recompute_count::BIGINT AS recompute_count, prediction_count::BIGINT AS prediction_count, d::BIGINT AS distance_comparisons, cheap::BIGINT AS cheap_update_count, cheap::BIGINT AS local_update_count, 0.0::DOUBLE AS full_trigger_rate, round(cheap / n, 9) AS cheap_update_rate,
+round(d / n, 6) AS distance_comparisons_per_input, round(held, 6) AS checkpoint_mean_active_points, evaluated::BIGINT AS evaluation_points FROM s""", False)
+def run_summary(spark, sf):
+    """The summaries' deterministic part."""
+    rows = harness.run(_points(spark, sf), _RUN)
+    counts = ["recompute_count", "prediction_count", "distance_comparisons", "cheap_update_count", "local_update_count"]
+    rates = [("full_trigger_rate", 9), ("cheap_update_rate", 9), ("distance_comparisons_per_input", 6), ("checkpoint_mean_active_points", 6)]
+    return rows.select("stream_id", "method", "status", "n_input", *counts, *[F.round(c, n).alias(c) for c, n in rates], "evaluation_points")
+
+
+@query()
+def run_trace(spark, sf):
+    return harness.trace(_points(spark, sf), ["adaptive_fishdbc", "diart_style"], methods.Config(checkpoint=100)).drop("max_pending", "max_queue_depth")
+
+
+@query()
+def rate_sweep(spark, sf):
+    chosen, config = harness.preset("async")
+    return harness.rate_sweep(_points(spark, sf), [1, 5, 10, 20], chosen, config).drop("decision_mean_ms", "decision_p95_ms", "maintenance_ms_total", "maintenance_ms_max")
+
+
+@query()
+def multiseed_run(spark, sf):
+    """The table's streams in the orders of five seeds."""
+    seeds = harness.reordered(_points(spark, sf), [20260910 + i for i in range(5)])
+    return harness.multi_seed(seeds, ["diart_style", "window_hdbscan"])[1].select("method", "ari_mean", "ari_std", "nmi_mean", "nmi_std", "cluster_accuracy_noise_singletons_mean", "false_merge_rate_mean")
