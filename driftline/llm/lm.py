@@ -58,8 +58,18 @@ def grams(texts, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return [(np.concatenate(x) if x else none, np.concatenate(y)) for x, y in out], np.concatenate(words) if words else np.zeros(0, np.int64)
 
 
+def _first(s: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return new
+
+
 def _table(found) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+    """Sorted distinct n-grams and their counts."""
+    s = np.sort(np.concatenate([h for h, _ in found]))
+    start = np.flatnonzero(_first(s))
+    return s[start], np.diff(np.append(start, len(s)))
 
 
 def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,20 +93,20 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
 
     def places_of(ids, null, texts):
         keys, c = _table(grams(texts, order)[0])
-        short, start = np.unique(keys >> cut, return_index=True)
-        return short, (np.add.reduceat(c, start) > 1) if len(start) else np.zeros(0, bool)
+        short = keys >> cut
+        start = np.flatnonzero(_first(short))
+        return short[start], (np.add.reduceat(c, start) > 1) if len(start) else np.zeros(0, bool)
 
     shared = written(B.answer(B.send(packed, places, places_of), places, units), "none")
 
-    def counted(texts, hit):
-        """The block's n-grams, numbers of words, keys, counts, and which keys may be in the corpus more than once."""
-        found, words = grams(texts, order)
-        keys, c = _table(found)
-        return found, words, keys, c, hit[np.searchsorted(np.unique(keys >> cut), keys >> cut)] if len(keys) else np.zeros(0, bool)
+    def often(keys, hit):
+        """Which of the block's sorted keys may be in the corpus more than once."""
+        return hit[np.cumsum(_first(keys >> cut)) - 1] if len(keys) else np.zeros(0, bool)
 
     def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        _, _, keys, c, often = counted(B.unpack(b["body"].iloc[0])[2], B.in_order(a, bool))
-        return pd.DataFrame([(b["block"].iloc[0], part, run) for part, run in counts.split(keys[often], c[often], step)], columns=["unit", "part", "run"])
+        keys, c = _table(grams(B.unpack(b["body"].iloc[0])[2], order)[0])
+        use = often(keys, B.in_order(a, bool))
+        return pd.DataFrame([(b["block"].iloc[0], part, run) for part, run in counts.split(keys[use], c[use], step)], columns=["unit", "part", "run"])
 
     runs = packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS)
     tagged = shared.withColumn("kind", F.lit(0)).union(B.answer(runs, counts, units).withColumn("kind", F.lit(1)))
@@ -104,10 +114,17 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
 
     def use(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         ids, null, texts = B.unpack(b["body"].iloc[0])
-        found, words, keys, _, often = counted(texts, B.in_order(a[a["kind"] == 0], bool))
+        found, words = grams(texts, order)
+        every = np.concatenate([h for h, _ in found])
+        at = np.argsort(every)
+        new = _first(every[at])
+        keys = every[at[new]]
         total = np.ones(len(keys), np.int64)
-        total[often] = B.in_order(a[a["kind"] == 1], np.int64)
-        c = [total[np.searchsorted(keys, h)] for h, _ in found]
+        total[often(keys, B.in_order(a[a["kind"] == 0], bool))] = B.in_order(a[a["kind"] == 1], np.int64)
+        # the corpus count of each n-gram of the block, in the texts' order
+        c = np.empty(len(every), np.int64)
+        c[at] = total[np.cumsum(new) - 1]
+        c = np.split(c, np.cumsum([len(h) for h, _ in found])[:-1])
         # score of the last word of each gram by the grams of its order or less
         whole = np.log(np.maximum(c[0], 1)) - np.log(max(corpus, 1))
         starts = found[0][1][:-1]
