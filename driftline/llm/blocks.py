@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bucketed
 
 #: Bytes of text in a block (one longer text makes a block of its own), and bytes of text for each hash range.
 BLOCK_BYTES = 8 << 20
@@ -33,7 +33,7 @@ FAN = 128
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block long, n int, bytes long, body binary: the documents' ids and texts (null: empty), in blocks."""
+    """block long, n int, bytes long, body binary: the documents' ids and texts (null: empty), in blocks, which are buckets of their own: texts are not shuffled."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
@@ -55,7 +55,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byte
         if held:
             yield _row(seq, held, size)
 
-    return written(src.mapInArrow(run, "block long, n int, bytes long, body binary"), "none")
+    return bucketed(src.mapInArrow(run, "block long, n int, bytes long, body binary"), "block")
 
 
 def _offsets(column: pa.Array) -> np.ndarray:

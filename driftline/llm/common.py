@@ -49,6 +49,19 @@ def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As `written`, in buckets by a column, one for each shuffle partition: grouping by the column needs no shuffle of this table then."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    name = f"driftline_{path.rsplit('/', 1)[1]}"
+    df.write.bucketBy(partitions(spark), column).option("compression", "none").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,6 +82,8 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables that operators have written in this session; call it when the results are stored."""
+    for t in spark.catalog.listTables(pattern="driftline_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     delete(spark, f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}")
 
 
