@@ -3,10 +3,10 @@
 The benchmark's items give distinct windows of WINDOW consecutive words.  The training
 texts are split into words once, in a written table.  One pass over it counts the windows'
 terms; each window then has a rarest and a second rarest term.  A second pass stores the
-postings (document, position) of these terms only.  The lists of a window's two terms,
-each less its offset in the window, are intersected; what remains is the start of a match
-in all likelihood, and the third pass compares the whole window with the words at that
-place.  Proximity matches intersect the same two lists by the distance of their positions,
+postings (document, position, the words around it) of these terms only.  The lists of a
+window's two terms, each less its offset in the window, are intersected; what remains is
+the start of a match in all likelihood, and the whole window is compared with the words
+that the posting holds, so that no text is shuffled.  Proximity matches intersect the same two lists by the distance of their positions,
 whatever the order, and compare all the windows of text around them.
 
 Benchmark terms are looked up in a hash set inside the scan while there are at most
@@ -40,9 +40,10 @@ def words(text: str = "text") -> F.Column:
 
 
 def split_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key (one for each row), doc (a struct of the columns but the text, if there are any), words; a written table."""
+    """key (one for each row), doc (a struct of the columns but the text, if there are any), n_words, words; a written table."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*rest).alias("doc") if rest else F.lit(None).cast("string").alias("doc"), words(f"`{text}`").alias("words")))
+    base = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*rest).alias("doc") if rest else F.lit(None).cast("string").alias("doc"), words(f"`{text}`").alias("words"))
+    return written(base.select("key", "doc", F.size("words").cast("long").alias("n_words"), "words"))
 
 
 def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -53,17 +54,21 @@ def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return written(found.withColumn("win", F.monotonically_increasing_id()))
 
 
-def _hits(base: DataFrame, terms: DataFrame, keyed: bool) -> DataFrame:
-    """term and, if keyed, key and pos of each occurrence of the terms."""
+def _hits(base: DataFrame, terms: DataFrame, around: int = 0) -> DataFrame:
+    """The term of each occurrence; with `around`, postings: key, pos, term, before and ctx, the fewer than `around` words before it, itself and those after it."""
     n, size = terms.agg(F.count("*"), F.sum(F.length("term"))).first()
-    key = ["key"] if keyed else []
-    if n <= SET_TERMS and (size or 0) <= SET_BYTES:
-        literals = sorted(r[0] for r in terms.collect())
-        if not keyed:
+    literals = sorted(r[0] for r in terms.collect()) if n <= SET_TERMS and (size or 0) <= SET_BYTES else None
+    if not around:
+        if literals is not None:
             return base.select(F.explode(F.filter("words", lambda w: w.isin(literals))).alias("term"))
-        pairs = F.filter(F.transform("words", lambda w, i: F.struct(F.when(w.isin(literals), w).alias("term"), i.alias("pos"))), lambda x: x["term"].isNotNull())
-        return base.select(*key, F.inline(pairs))
-    return base.select(*key, F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+        return base.select(F.explode("words").alias("term")).join(terms, "term", "left_semi")
+    before = lambda at: F.least(at, F.lit(around - 1))
+    posting = lambda w, at: F.struct(w.alias("term"), at.alias("pos"), before(at).alias("before"), F.slice("words", at - before(at) + 1, before(at) + around).alias("ctx"))
+    if literals is not None:
+        at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(literals), i)), lambda i: i.isNotNull())
+        return base.select("key", F.inline(F.transform(at, lambda i: posting(F.get("words", i), i))))
+    each = base.select("key", "words", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+    return each.withColumn("x", posting(F.col("term"), F.col("pos"))).select("key", "x.*")
 
 
 def _rarest(base: DataFrame, windows: DataFrame, each: DataFrame) -> DataFrame:
@@ -72,38 +77,43 @@ def _rarest(base: DataFrame, windows: DataFrame, each: DataFrame) -> DataFrame:
     `each` has win, n (the number of rows that the window has in it), term and any columns to keep with a term.
     """
     terms = written(windows.select(F.explode("ws").alias("term")).distinct())
-    df = small(written(_hits(base, terms, False).groupBy("term").agg(F.count("*").alias("df"))))
+    df = small(written(_hits(base, terms).groupBy("term").agg(F.count("*").alias("df"))))
     rest = [c for c in each.columns if c not in ("win", "n", "term")]
     ranked = each.join(df, "term").groupBy("win", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term", *rest))).alias("r"))
     return ranked.where(F.size("r") == F.col("n")).select("win", "r")
 
 
-def candidates(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """key, start, ws, items where the windows' two rarest terms stand at their offsets."""
+def matches(base: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key, start, length, items: where a window stands.
+
+    The offset-adjusted lists of a window's two rarest terms are intersected on (document, start); what remains
+    is compared whole with the words that the rarest term's posting has around it.
+    """
     ranked = _rarest(base, windows, windows.select("win", F.size("ws").alias("n"), F.posexplode("ws").alias("off", "term")))
     second = F.get("r", F.lit(1))
     pick = written(ranked.select("win", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["off"].alias("o1"), second["term"].alias("t2"), second["off"].alias("o2")))
     rare = written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct())
-    postings = written(_hits(base, rare, True))
+    postings = written(_hits(base, rare, window))
     p = written(pick.drop("win").distinct())  # windows with the same terms at the same offsets share one intersection
     lists = ["key", "start", "t1", "o1", "t2", "o2"]
     one = postings.join(small(p), F.col("term") == F.col("t1")).select("key", (F.col("pos") - F.col("o1")).alias("start"), *lists[2:])
     two = postings.join(small(p.where("t2 is not null")), F.col("term") == F.col("t2")).select("key", (F.col("pos") - F.col("o2")).alias("start"), *lists[2:])
     both = one.where("t2 is not null").join(two, lists, "left_semi").unionByName(one.where("t2 is null")).where("start >= 0").distinct()
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in lists[2:]]
-    named = both.alias("c").join(small(pick).alias("k"), same[0] & same[1] & same[2] & same[3]).select("key", "start", "win")
-    return named.join(small(windows), "win").select("key", "start", "ws", "items")
+    named = both.alias("c").join(small(pick).alias("k"), same[0] & same[1] & same[2] & same[3])
+    named = named.select("key", F.col("c.t1").alias("term"), (F.col("start") + F.col("c.o1")).alias("pos"), F.col("c.o1").alias("off"), "win")
+    # a merge join at every size: the candidates grow with the corpus and are never broadcast
+    held = postings.join(named.hint("merge"), ["key", "term", "pos"]).select("key", (F.col("pos") - F.col("off")).alias("start"), "off", "before", "ctx", "win")
+    exact = held.where("off <= before").join(small(windows), "win").where(F.slice("ctx", F.col("before") - F.col("off") + 1, F.size("ws")) == F.col("ws"))
+    return exact.select("key", "start", F.size("ws").alias("length"), "items")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, doc (a struct of the columns but the text), words and found, an array of (start, length, items) of each exact match."""
+    """key, doc (a struct of the columns but the text), n_words and found, an array of (start, length, items) of each exact match."""
     base = split_texts(docs, text)
-    c = candidates(base, windows_of(benchmark, item_id, item_text, window)).groupBy("key").agg(F.collect_list(F.struct("start", "ws", "items")).alias("c"))
-    out = base.join(small(written(c)), "key", "left")
-    exact = F.filter("c", lambda x: F.slice(F.col("words"), x["start"] + 1, F.size(x["ws"])) == x["ws"])
-    found = F.transform(exact, lambda x: F.struct(x["start"].alias("start"), F.size(x["ws"]).alias("length"), x["items"].alias("items")))
+    got = matches(base, windows_of(benchmark, item_id, item_text, window), window).groupBy("key").agg(F.collect_list(F.struct("start", "length", "items")).alias("found"))
     none = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
-    return out.select("key", "doc", "words", F.coalesce(found, none).alias("found"))
+    return base.select("key", "doc", "n_words").join(small(written(got)), "key", "left").withColumn("found", F.coalesce("found", none))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -117,7 +127,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "d
     ranked = _rarest(base, w, w.select("win", F.size(F.array_distinct("ws")).alias("n"), F.size("ws").alias("len"), F.explode(F.array_distinct("ws")).alias("term")))
     one = F.col("r")[0]
     pick = written(ranked.select("win", one["len"].alias("len"), one["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["term"], one["term"]).alias("t2")))
-    postings = written(_hits(base, written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()), True))
+    postings = written(_hits(base, written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()), 1).select("key", "pos", "term"))
     # positions less than `reach` apart lie in the same stretch of `reach` words or in neighbouring ones
     p = written(pick.select("len", "t1", "t2").distinct().withColumn("reach", F.col("len") + 2 * slop))
     stretch = F.floor(F.col("pos") / F.col("reach"))
@@ -138,7 +148,7 @@ def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated."""
     places = F.flatten(F.transform("found", lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1)))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
-    return found.select(F.col(f"doc.`{doc_id}`").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), items.alias("items")).select(
+    return found.select(F.col(f"doc.`{doc_id}`").alias("doc_id"), "n_words", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), items.alias("items")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated")
     )
 
@@ -146,8 +156,9 @@ def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents, all columns, in which no window occurs."""
     # the text rides along in the struct beside its words
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return find(held, benchmark).where(F.size("found") == 0).select("doc.row.*")
+    base = split_texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")))
+    hit = small(written(matches(base, windows_of(benchmark)).select("key").distinct()))
+    return base.select("key", "doc").join(hit, "key", "left_anti").select("doc.row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
