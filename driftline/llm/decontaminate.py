@@ -103,7 +103,8 @@ def matches(base: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFr
     named = both.alias("c").join(small(pick).alias("k"), same[0] & same[1] & same[2] & same[3])
     named = named.select("key", F.col("c.t1").alias("term"), (F.col("start") + F.col("c.o1")).alias("pos"), F.col("c.o1").alias("off"), "win")
     # a merge join at every size: the candidates grow with the corpus and are never broadcast
-    held = postings.join(named.hint("merge"), ["key", "term", "pos"]).select("key", (F.col("pos") - F.col("off")).alias("start"), "off", "before", "ctx", "win")
+    firsts = written(pick.select(F.col("t1").alias("term")).distinct())
+    held = postings.join(small(firsts), "term", "left_semi").join(named.hint("merge"), ["key", "term", "pos"]).select("key", (F.col("pos") - F.col("off")).alias("start"), "off", "before", "ctx", "win")
     exact = held.where("off <= before").join(small(windows), "win").where(F.slice("ctx", F.col("before") - F.col("off") + 1, F.size("ws")) == F.col("ws"))
     return exact.select("key", "start", F.size("ws").alias("length"), "items")
 
