@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 _open: list[str] = []
+_closed: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,7 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     path = new_path(spark)
     name = f"driftline_{path.rsplit('/', 1)[1]}"
     df.write.bucketBy(partitions(spark), column).option("compression", "none").option("path", path).saveAsTable(name)
+    _tables[name] = path
     return spark.table(name)
 
 
@@ -63,7 +66,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder on whatever file system it is."""
+    """Deletes a folder on whatever file system it is, and the names of the tables in it."""
+    for name in [n for n, p in _tables.items() if p.startswith(path)]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del _tables[name]
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -80,6 +86,25 @@ def intermediate(spark: SparkSession) -> Iterator[None]:
         delete(spark, path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """What operators write inside stays for the stage's result; what earlier stages wrote goes now, unless `docs` reads it.
+
+    A stage's result must be written before the next stage is called, as `docs` of the next is then.
+    """
+    read = docs.inputFiles() if _closed else []
+    for path in [p for p in _closed if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        _closed.remove(path)
+        delete(spark, path)
+    path = new_path(spark)
+    _open.append(path)
+    try:
+        yield
+    finally:
+        _open.remove(path)
+        _closed.append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that operators have written in this session; call it when the results are stored."""
     for t in spark.catalog.listTables(pattern="driftline_*"):
