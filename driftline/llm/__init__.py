@@ -5,7 +5,7 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, licenses, linededup, lm, quality, runs, suffixes, toxicity, warc, whitening
+from . import bpe, chat, decontaminate, jaccard, licenses, linededup, lm, quality, runs, suffixes, toxicity, warc, whitening
 
 _QUERIES = [
     (bpe.op1_bpe, None),
@@ -20,6 +20,7 @@ _QUERIES = [
     (lm.op9_lm_scores, lm.SQL),
     (licenses.op10_license_scan, licenses.SQL),
     (licenses.op10_license_scan_all, None),
+    (chat.op11_chat_format, None),
     (runs.op12_periodic_runs, None),
     (whitening.op13_embedding_whitening, None),
 ]
