@@ -1,24 +1,28 @@
 """Pair, nearest-neighbour and representative operators.
 
-All-pairs operators work on tiles: some TILE points are one row with their vectors as a
-matrix, every pair of tiles is one matrix product, and only what an operator keeps of it
-(the k nearest of each row, or the pairs themselves where they are the result) leaves the
-task.  Representatives are one row a cluster, broadcast only while their bytes are counted
+All-pairs operators work on pairs of groups: some GROUP points are a matrix, every pair of
+groups is a task's matrix products, and only what an operator keeps of them (the k nearest of
+each row, or the pairs themselves where they are the result) leaves the task.  Representatives are one row a cluster, broadcast only while their bytes are counted
 to be few.  `pairs`, `mutual_reachability` and `affinity_graph` have results of n ** 2
 rows and are meant for one bounded stream.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 
-#: Bytes of a broadcast side, and points in a tile.
+#: Bytes of a broadcast side, and points of one matrix product.
 FEW_BYTES = 16 << 20
 TILE = 1024
+#: Points of one side of a task that compares points with points.
+GROUP = 8192
 
 
 def few(df: DataFrame, dim: int = 64) -> DataFrame:
@@ -27,77 +31,91 @@ def few(df: DataFrame, dim: int = 64) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def tiles(points: DataFrame, size: int = TILE) -> DataFrame:
-    """tile int, tiles int, ids array<long>, body binary: the points by hash in tiles of about `size`, vectors as float64 rows."""
-    n = max(1, -(-points.count() // size))
+def compared(points: DataFrame, run: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """run(left, right, same) over each pair of groups of some GROUP points, a group with itself included.
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "tiles": [n], "ids": [pdf["seq"].to_numpy()], "body": [x.tobytes()]})
+    A side is (ids, vectors as float64 rows, the extra columns).  A point goes to as many pairs as there
+    are groups, n / GROUP, by one shuffle; its group follows from its id, so groups are even
+    whatever the vectors are.  run yields Arrow tables of `schema`.
+    """
+    n = max(1, -(-points.count() // GROUP))
+    g = F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(F.least(x, g).alias("p"), F.greatest(x, g).alias("q")))
+    dealt = points.select("seq", "embedding", *extra, g.alias("g"), F.inline(each))
+
+    def side(t: pa.Table, of: int):
+        t = t.filter(pc.equal(t.column("g"), of)).combine_chunks()
+        ids = t.column("seq").to_numpy()
+        x = pc.list_flatten(t.column("embedding")).to_numpy().reshape(len(ids), -1).astype(np.float64) if len(ids) else np.zeros((0, 0))
+        return ids, x, *[t.column(c).to_numpy() for c in extra]
+
+    def apply(t: pa.Table) -> pa.Table:
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        left, right = side(t, p), side(t, q)
+        found = [x for x in run(left, right, p == q)] if len(left[0]) and len(right[0]) else []
+        return pa.concat_tables(found) if found else _none(schema)
 
-    tagged = points.select("seq", "embedding", F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int").alias("tile"))
-    return tagged.groupBy("tile").applyInPandas(pack, "tile int, tiles int, ids array<long>, body binary")
+    return dealt.groupBy("p", "q").applyInArrow(apply, schema)
 
 
-def _tile_pairs(points: DataFrame) -> DataFrame:
-    """Each pair of tiles, a tile with itself included, as one row: ids, body, ids2, body2, same."""
-    t = tiles(points)
-    a = t.select("tile", "ids", "body", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"))
-    b = t.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("body").alias("body2"))
-    return a.join(b, "other").select("ids", "body", "ids2", "body2", (F.col("tile") == F.col("other")).alias("same")).repartition(F.xxhash64("ids", "ids2"))
+def _none(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    return pa.table({name: pa.array([], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
 
 
-def _products(batches):
-    """(ids, ids of the other tile, clipped cosine distances, whether the tiles are the same) of each row."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids, ids2 = np.array(r["ids"]), np.array(r["ids2"])
-            x, y = np.frombuffer(r["body"]).reshape(len(ids), -1), np.frombuffer(r["body2"]).reshape(len(ids2), -1)
-            yield ids, ids2, 1 - np.clip(x @ y.T, -1, 1), r["same"]
+def cosine_rows(x: np.ndarray, y: np.ndarray):
+    """(first row, clipped cosine distances) of TILE rows of x at a time against all of y."""
+    for at in range(0, len(x), TILE):
+        yield at, 1 - np.clip(x[at : at + TILE] @ y.T, -1, 1)
 
 
 def pairs(points: DataFrame) -> DataFrame:
     """i < j and their clipped cosine distance."""
 
-    def run(batches):
-        for ids, ids2, d, same in _products(batches):
-            for at in range(0, len(ids), 64):
-                i, j = np.meshgrid(ids[at : at + 64], ids2, indexing="ij")
-                use = i < j if same else np.ones(i.shape, bool)
-                low, high = np.minimum(i, j)[use], np.maximum(i, j)[use]
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(d[at : at + 64][use])], names=["i", "j", "distance"])
+    def run(left, right, same):
+        for at, d in cosine_rows(left[1], right[1]):
+            i, j = np.meshgrid(left[0][at : at + len(d)], right[0], indexing="ij")
+            use = i < j if same else np.ones(i.shape, bool)
+            yield pa.table({"i": np.minimum(i, j)[use], "j": np.maximum(i, j)[use], "distance": d[use]})
+
+    return compared(points, run, "i long, j long, distance double")
+
 
-    return _tile_pairs(points).mapInArrow(run, "i long, j long, distance double")
+def least(ids: np.ndarray, ids2: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row's id, distance, column's id) of each row's k least by (distance, id): a cut at the k-th least, then an order of what is left."""
+    cut = min(k, d.shape[1])
+    kth = np.partition(d, cut - 1, axis=1)[:, cut - 1]
+    r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+    order = np.lexsort((ids2[c], d[r, c], r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    r, c = r[rank < k], c[rank < k]
+    return ids[r], d[r, c], ids2[c]
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
     """i, near array<struct<distance, j>>: the k nearest other points, ties by id.
 
-    A pair of tiles gives the k nearest of each of its rows and columns, so that n x k x tiles short
+    A pair of groups gives the k nearest of each of its points, so that n x k x groups short
     rows are shuffled and not n ** 2.
     """
 
-    def least(ids, ids2, d):
-        """For each row its k least by (distance, id): a cut at the k-th least, then an order of what is left."""
-        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        r, c = np.nonzero(d <= kth[:, None])
-        order = np.lexsort((ids2[c], d[r, c], r))
-        r, c = r[order], c[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[rank < k], c[rank < k]
-        return ids[r], d[r, c], ids2[c]
+    def run(left, right, same):
+        for a, b in ((left, right),) if same else ((left, right), (right, left)):
+            for at, d in cosine_rows(a[1], b[1]):
+                ids = a[0][at : at + len(d)]
+                if same:
+                    d = np.where(ids[:, None] == b[0], np.inf, d)
+                i, x, j = least(ids, b[0], d, k)
+                yield pa.table({"i": i, "distance": x, "j": j})
 
-    def run(batches):
-        for ids, ids2, d, same in _products(batches):
-            if same:
-                d = np.where(ids[:, None] == ids2, np.inf, d)
-            for a, b, m in ((ids, ids2, d),) if same else ((ids, ids2, d), (ids2, ids, d.T)):
-                i, x, j = least(a, b, m)
-                use = np.isfinite(x)
-                yield pa.RecordBatch.from_arrays([pa.array(i[use]), pa.array(x[use]), pa.array(j[use])], names=["i", "distance", "j"])
-
-    found = _tile_pairs(points).mapInArrow(run, "i long, distance double, j long")
-    return found.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "j"))), 1, k).alias("near"))
+    found = compared(points, run, "i long, distance double, j long")
+    return top(found, k)
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """i, near: each point's k least of the found (i, distance, j)."""
+    return found.groupBy("i").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct("distance", "j")))), 1, k).alias("near"))
 
 
 def both_ways(p: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import density, metrics, neighbours
+from .operators import density, hierarchy, metrics, neighbours
 from .plans import harness, methods, reports
 from .sources import streams
 
@@ -344,3 +344,25 @@ def multiseed_run(spark, sf):
     """The table's streams in the orders of five seeds."""
     seeds = harness.reordered(_points(spark, sf), [20260910 + i for i in range(5)])
     return harness.multi_seed(seeds, ["diart_style", "window_hdbscan"])[1].select("method", "ari_mean", "ari_std", "nmi_mean", "nmi_std", "cluster_accuracy_noise_singletons_mean", "false_merge_rate_mean")
+
+
+#: Prim's rule over the matrix of mutual reachability, the least edge by (weight, points) first.
+_PRIM = """p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, seq, e FROM points),
+d AS MATERIALIZED (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN NULL ELSE round(1 - greatest(-1, least(1, list_dot_product(a.e, b.e))), 9) END AS d FROM p a, p b),
+c AS MATERIALIZED (SELECT i, d AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d WHERE d IS NOT NULL) WHERE r = 2),
+m AS MATERIALIZED (SELECT d.i, list(greatest(d, x.core, y.core) ORDER BY j) AS w FROM d JOIN c x ON x.i = d.i JOIN c y ON y.i = d.j GROUP BY d.i),
+t AS (SELECT 1 AS k, NULL::STRUCT(w DOUBLE, a BIGINT, b BIGINT, v BIGINT) AS e, list_transform(w, lambda x, j: CASE WHEN j = 1 THEN NULL ELSE {'w': x, 'a': 1::BIGINT, 'b': j::BIGINT, 'v': j::BIGINT} END) AS near FROM m WHERE i = 1 UNION ALL
+SELECT k + 1, pick, list_transform(near, lambda x, j: CASE WHEN x IS NULL OR j = pick.v THEN NULL WHEN x <= {'w': w[j], 'a': least(j, pick.v)::BIGINT, 'b': greatest(j, pick.v)::BIGINT, 'v': j::BIGINT} THEN x ELSE {'w': w[j], 'a': least(j, pick.v)::BIGINT, 'b': greatest(j, pick.v)::BIGINT, 'v': j::BIGINT} END)
+FROM (SELECT k, near, list_sort(list_filter(near, lambda x: x IS NOT NULL))[1] AS pick FROM t WHERE k < (SELECT count(*) FROM p)) JOIN m ON m.i = pick.v)"""
+
+
+@query(f", {_PRIM} SELECT x.seq AS a, y.seq AS b, round(t.e.w, 6) AS w FROM t JOIN p x ON x.i = t.e.a JOIN p y ON y.i = t.e.b")
+def spanning_tree(spark, sf):
+    """The minimum spanning tree of all vectors under mutual reachability."""
+    return hierarchy.spanning_tree(_points(spark, sf), 2).select("a", "b", F.round("w", 6).alias("w"))
+
+
+@query()
+def hdbscan_large(spark, sf):
+    """All vectors as one set, clustered by density as a dataflow: pred is the least seq of the cluster, -1 noise."""
+    return hierarchy.cluster(_points(spark, sf)).join(_points(spark, sf).select("seq", "label"), "seq").select("seq", "label", "pred")

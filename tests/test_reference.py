@@ -140,8 +140,8 @@ def test_every_query_has_rows(spark):
 def test_tiles_agree_with_brute_force(spark, monkeypatch):
     from driftline.operators import neighbours as N
 
-    monkeypatch.setattr(N.tiles, "__defaults__", (20,))
-    monkeypatch.setattr(N, "TILE", 20)
+    monkeypatch.setattr(N, "GROUP", 20)
+    monkeypatch.setattr(N, "TILE", 7)
     pdf = S.synthetic(5, 18, 16, 3)
     points = frame(spark, pdf)
     x = np.stack(pdf["embedding"].to_list()).astype(float)
