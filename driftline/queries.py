@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import density, hierarchy, metrics, neighbours
+from .operators import approximate, density, hierarchy, linkage, metrics, neighbours
 from .plans import harness, methods, reports
 from .sources import streams
 
@@ -366,3 +366,16 @@ def spanning_tree(spark, sf):
 def hdbscan_large(spark, sf):
     """All vectors as one set, clustered by density as a dataflow: pred is the least seq of the cluster, -1 noise."""
     return hierarchy.cluster(_points(spark, sf)).join(_points(spark, sf).select("seq", "label"), "seq").select("seq", "label", "pred")
+
+
+@query()
+def ahc_large(spark, sf):
+    """All vectors as one set by average linkage at distance 0.70: pred is the least seq of the cluster."""
+    return linkage.average_linkage(_points(spark, sf)).join(_points(spark, sf).select("seq", "label"), "seq").select("seq", "label", "pred")
+
+
+@query()
+def approximate_neighbours(spark, sf):
+    """The five nearest that share a bucket."""
+    near = approximate.nearest(_points(spark, sf), 5)
+    return near.select("i", F.posexplode("near").alias("r", "x")).select("i", (F.col("r") + 1).alias("r"), "x.j", F.round("x.distance", 6).alias("distance"))
