@@ -15,7 +15,7 @@ _QUERIES = [
     (jaccard.op5_jaccard_join, jaccard.SQL),
     (quality.op6_quality_rules, quality.SQL),
     (linededup.op7_line_dedup, linededup.SQL),
-    (linededup.op7_single_lines, None),
+    (linededup.op7_single_lines, linededup.SINGLE_SQL),
     (decontaminate.op8_decontaminate, decontaminate.SQL),
     (lm.op9_lm_scores, lm.SQL),
     (licenses.op10_license_scan, licenses.SQL),
