@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +43,30 @@ def new_path(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: its lineage ends there and survives lost executors."""
+def written(df: DataFrame, compression: str = "zstd", path: str | None = None, tidy: bool = False) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: its lineage ends there and survives lost executors.
+
+    tidy: the shuffle files of the writing go at its end, and not when the driver collects its garbage; the table stands for them.
+    """
     spark = df.sparkSession
     path = path or new_path(spark)
-    df.write.option("compression", compression).parquet(path)
+    with tidied(spark) if tidy else nullcontext():
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside deletes its shuffle files when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def bucketed(df: DataFrame, column: str) -> DataFrame:
     """As `written`, in buckets by a column, one for each shuffle partition: grouping by the column needs no shuffle of this table then."""
     spark = df.sparkSession

@@ -338,7 +338,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         several = np.maximum.reduceat(of, start) != np.minimum.reduceat(of, start) if len(keys) else np.zeros(0, bool)
         return keys, several
 
-    shared = written(B.answer(B.send(packed, grams, keys_of), grams, units), "none")
+    shared = written(B.answer(B.send(packed, grams, keys_of), grams, units), "none", tidy=True)
 
     def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         """A block's runs, and as part OWN the anchors in question, which `finish` needs again."""
@@ -364,7 +364,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         own = np.concatenate((np.diff(at, prepend=0), at - p, q - at + SPAN, entry, (owner > least[entry]).astype(np.int64))).astype(np.int32)
         return pd.DataFrame([*out, (block, OWN, B.zipped(own.reshape(5, -1).view(np.uint8).reshape(5, -1, 4).transpose(0, 2, 1).tobytes()))], columns=["unit", "part", "run"])
 
-    sent = written(packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS), "none")
+    sent = written(packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS), "none", tidy=True)
     masks = B.answer(sent.where(F.col("part") != OWN), suffixes, units)
     tagged = sent.where(F.col("part") == OWN).select("unit", "part", F.col("run").alias("answer")).union(masks)
 
