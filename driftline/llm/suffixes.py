@@ -61,8 +61,6 @@ LAST = np.iinfo(np.int64).max
 #: The mask of all strings.
 EVERY = np.uint32((1 << SPAN) - 1)
 DEAL = K.COEF[50]
-#: The part under which a block's own anchors are kept.
-OWN = -1
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -340,15 +338,14 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     shared = written(B.answer(B.send(packed, grams, keys_of), grams, units), "none", tidy=True)
 
-    def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        """A block's runs, and as part OWN the anchors in question, which `finish` needs again."""
-        block, (ids, null, texts) = b["block"].iloc[0], B.unpack(b["body"].iloc[0])
+    def entries(ids, null, texts, hit):
+        """The anchors in question, the entry of each, and the entries in order: part, key, least document."""
         buf, off = K.texts(texts)
         at, doc, p, q, gram = anchors(buf, off)
-        gram, hit = gram >> cut, B.in_order(a, bool)
+        gram = gram >> cut
         order, start, keys = in_groups(gram)
-        use = np.empty(len(gram), bool)
-        use[order] = np.repeat(hit, np.diff(np.append(start, len(gram)))) if len(keys) else False
+        use = np.zeros(len(gram), bool)
+        use[order] = np.repeat(hit[: len(keys)], np.diff(np.append(start, len(gram))))
         at, doc, p, q, gram = at[use], doc[use], p[use], q[use], gram[use]
         rows = np.concatenate((suffixes.part_of(gram, step).astype(">u4").view(np.uint8).reshape(-1, 4), sort_keys(buf, off, at, doc)), 1)
         order = np.argsort(rows.view(f"S{rows.shape[1]}").reshape(-1), kind="stable")
@@ -358,25 +355,25 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         entry = np.empty(len(rows), np.int64)
         entry[order] = np.cumsum(new) - 1
         least = np.minimum.reduceat(owner[order], np.flatnonzero(new)) if len(rows) else owner
-        part, keys = np.ascontiguousarray(rows[new, :4]).view(">u4").reshape(-1).astype(np.int64), np.ascontiguousarray(rows[new, 4:])
+        part = np.ascontiguousarray(rows[new, :4]).view(">u4").reshape(-1).astype(np.int64)
+        return buf, off, at, p, q, owner, entry, part, np.ascontiguousarray(rows[new, 4:]), least
+
+    def emit(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        *_, part, keys, least = entries(*B.unpack(b["body"].iloc[0]), B.in_order(a, bool))
         cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-        out = [(block, part[x], Suffixes.write(keys[x:y], least[x:y])) for x, y in zip(cuts, cuts[1:])]
-        own = np.concatenate((np.diff(at, prepend=0), at - p, q - at + SPAN, entry, (owner > least[entry]).astype(np.int64))).astype(np.int32)
-        return pd.DataFrame([*out, (block, OWN, B.zipped(own.reshape(5, -1).view(np.uint8).reshape(5, -1, 4).transpose(0, 2, 1).tobytes()))], columns=["unit", "part", "run"])
+        out = [(b["block"].iloc[0], part[x], Suffixes.write(keys[x:y], least[x:y])) for x, y in zip(cuts, cuts[1:])]
+        return pd.DataFrame(out, columns=["unit", "part", "run"])
 
-    sent = written(packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS), "none", tidy=True)
-    masks = B.answer(sent.where(F.col("part") != OWN), suffixes, units)
-    tagged = sent.where(F.col("part") == OWN).select("unit", "part", F.col("run").alias("answer")).union(masks)
+    # runs are as large as the texts: they are shuffled but not written, and `finish` makes its entries again
+    runs = packed.select("block", "body").groupBy("block").cogroup(shared.groupBy("unit")).applyInPandas(emit, B.RUNS)
+    masks = B.answer(runs, suffixes, units)
+    tagged = shared.withColumn("kind", F.lit(0)).union(masks.withColumn("kind", F.lit(1)))
 
     def finish(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         ids, null, texts = B.unpack(b["body"].iloc[0])
-        buf, off = K.texts(texts)
-        own = B.unzipped(a["answer"][a["part"] == OWN].iloc[0])
-        at, before, behind, entry, later = np.ascontiguousarray(np.frombuffer(own, np.uint8).reshape(5, 4, -1).transpose(0, 2, 1)).view(np.int32).reshape(5, -1).astype(np.int64)
-        at = np.cumsum(at)
-        p, q = at - before, at + behind - SPAN
-        got = B.in_order(a[a["part"] != OWN], np.uint32)
-        masks = np.where(later == 1, EVERY, got[entry]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        buf, off, at, p, q, owner, entry, _, _, least = entries(ids, null, texts, B.in_order(a[a["kind"] == 0], bool))
+        got = B.in_order(a[a["kind"] == 1], np.uint32)
+        masks = np.where(owner > least[entry], EVERY, got[entry]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         cover = np.zeros(len(buf) + 1, np.int64)
         for o in range(SPAN):
             s = at - o
