@@ -88,7 +88,7 @@ def nearest_neighbours(spark, sf):
     return near.select("i", F.posexplode("near").alias("r", "x")).select("i", F.round("x.distance", 6).alias("distance"), (F.col("r") + 1).alias("r"))
 
 
-@query(", near AS MATERIALIZED (SELECT i, j, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM both_ways), core AS MATERIALIZED (SELECT i, distance AS c FROM near WHERE r = 2) SELECT p.i, p.j, round(greatest(distance, a.c, b.c), 6) AS reach FROM near p JOIN core a ON a.i = p.i JOIN core b ON b.i = p.j WHERE p.i < p.j")
+@query("WITH points AS (SELECT vec_id AS seq, list_transform(embedding, lambda x: (x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12))::FLOAT)::DOUBLE[] AS e FROM embeddings), d AS MATERIALIZED (SELECT a.seq AS i, b.seq AS j, 1 - greatest(-1, least(1, list_dot_product(a.e, b.e))) AS distance FROM points a JOIN points b ON a.seq <> b.seq), core AS MATERIALIZED (SELECT i, distance AS c FROM (SELECT i, distance, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS r FROM d) WHERE r = 2) SELECT d.i, d.j, round(greatest(distance, a.c, b.c), 6) AS reach FROM d JOIN core a ON a.i = d.i JOIN core b ON b.i = d.j WHERE d.i < d.j", False)
 def mutual_reachability(spark, sf):
     return neighbours.mutual_reachability(_points(spark, sf), 2).select("i", "j", F.round("reach", 6).alias("reach"))
 
@@ -119,7 +119,7 @@ def noise_reinsertion(spark, sf):
     return neighbours.reinsert_noise(p.where("label < 8"), p.where("label >= 8"))
 
 
-@query()
+@query("SELECT seq, CASE WHEN round(best, 6) <= round(1.5 * spread, 6) THEN nearest ELSE -1 END AS label FROM two JOIN spread ON label = nearest")
 def noise_reinsertion_all(spark, sf):
     """Every point is judged, at the operator's own factor."""
     p = _points(spark, sf)
@@ -132,7 +132,7 @@ def best_pair_per_label(spark, sf):
 
 
 def _labelled(spark, sf):
-    """Two labellings of documents: the true one is quality, the predicted one toxic with unknown rows as noise."""
+    """Two labellings of documents: the true one is doc_id % 4, the predicted one of quality and toxic, with unknown rows as noise."""
     d, l = _t(spark, sf, "documents").select("doc_id", "lang"), _t(spark, sf, "labels")
     return d.join(l, "doc_id", "left").select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 4).alias("label"), F.when(F.col("toxic").isNull(), -1).otherwise(F.col("quality") * 2 + F.col("toxic")).cast("long").alias("pred"))
 
