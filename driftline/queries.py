@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import approximate, density, hierarchy, linkage, metrics, neighbours
-from .plans import harness, methods, reports
+from .operators import approximate, density, frozen, hierarchy, linkage, metrics, neighbours
+from .operators.storage import Store
+from .plans import harness, methods, prefixes, reports
 from .sources import streams
 
 QUERIES, SQL = {}, {}
@@ -379,3 +380,40 @@ def approximate_neighbours(spark, sf):
     """The five nearest that share a bucket."""
     near = approximate.nearest(_points(spark, sf), 5)
     return near.select("i", F.posexplode("near").alias("r", "x")).select("i", (F.col("r") + 1).alias("r"), "x.j", F.round("x.distance", 6).alias("distance"))
+
+
+@query(f""", w AS MATERIALIZED (SELECT seq, label, e, seq // {streams.SESSION} AS s, row_number() OVER (PARTITION BY seq // {streams.SESSION} ORDER BY seq) AS k, count(*) OVER (PARTITION BY seq // {streams.SESSION}) AS n FROM points),
+m AS MATERIALIZED (SELECT s, seq, label, e FROM w WHERE k <= 20 AND n >= 20),
+md AS MATERIALIZED (SELECT s, a.seq AS i, b.seq AS j, a.label AS li, b.label AS lj, round(list_distance(a.e, b.e), 9) AS d FROM m a JOIN m b USING (s)),
+core AS MATERIALIZED (SELECT i, list_sort(list(d))[3] AS c FROM md GROUP BY i),
+lim AS (SELECT s, li AS label, min(greatest(d, x.c, y.c)) AS r FROM md JOIN core x USING (i) JOIN core y ON y.i = md.j WHERE li <> lj GROUP BY s, li),
+sc AS MATERIALIZED (SELECT w.s, w.seq, m.seq AS j, m.label AS lm, c, round(list_distance(w.e, m.e), 9) AS d FROM w JOIN m USING (s) JOIN core ON i = m.seq WHERE w.k > 20),
+own AS (SELECT seq, list_sort(list(d))[2] AS o FROM sc GROUP BY seq),
+pick AS (SELECT s, seq, lm, reach FROM (SELECT s, seq, lm, greatest(d, c, o) AS reach, row_number() OVER (PARTITION BY seq ORDER BY greatest(d, c, o), j) AS q FROM sc JOIN own USING (seq)) WHERE q = 1)
+SELECT 's' || w.s AS stream_id, w.seq, w.label, CASE WHEN n < 20 THEN -1 WHEN k <= 20 THEN w.label WHEN reach <= coalesce(r, 'inf'::DOUBLE) THEN lm ELSE -1 END AS pred, round(reach, 6) AS reach
+FROM w LEFT JOIN pick USING (seq) LEFT JOIN lim ON lim.s = pick.s AND lim.label = lm""")
+def frozen_predict(spark, sf):
+    """Every stream's first 20 points with the table's labels are its model; the rest is scored against it."""
+    p = _points(spark, sf)
+    models = Store(spark)(frozen.model(frozen.warm(p), "label"))
+    return frozen.predict(p, models).join(p.select("seq", "label"), "seq").select("stream_id", "seq", "label", "pred", F.round("reach", 6).alias("reach"))
+
+
+@query()
+def frozen_hdbscan_labels(spark, sf):
+    """The same, the warm-up clustered by density."""
+    p = _points(spark, sf)
+    return frozen.predict(p, Store(spark)(frozen.fit(p))).select("stream_id", "seq", "pred")
+
+
+@query()
+def prefix_quality(spark, sf):
+    """Quality at each 50th arrival and at the last, every prefix clustered afresh by density."""
+    return prefixes.quality(prefixes.refit(_points(spark, sf), "hdbscan", 50))
+
+
+@query(f"""WITH r AS (SELECT 's' || (vec_id // {streams.SESSION}) AS stream_id, count(*) AS n FROM embeddings GROUP BY 1), c AS (SELECT stream_id, least(n, 50 * unnest(range(1, ceil(n / 50)::BIGINT + 1))) AS u FROM r)
+SELECT stream_id, count(*) AS recompute_count, sum(u)::BIGINT AS fitted_points, sum(u * (u - 1) // 2)::BIGINT AS distance_comparisons FROM c GROUP BY stream_id""", False)
+def prefix_work(spark, sf):
+    """The fits that ran for full prefixes by average linkage at each 50th arrival."""
+    return prefixes.work(prefixes.refit(_points(spark, sf), "ahc", 50))
