@@ -17,9 +17,10 @@ _QUERIES = [
     (linededup.op7_line_dedup, linededup.SQL),
     (linededup.op7_single_lines, linededup.SINGLE_SQL),
     (decontaminate.op8_decontaminate, decontaminate.SQL),
+    (decontaminate.op8_proximity, decontaminate.PROXIMITY_SQL),
     (lm.op9_lm_scores, lm.SQL),
     (licenses.op10_license_scan, licenses.SQL),
-    (licenses.op10_license_scan_all, None),
+    (licenses.op10_license_scan_all, licenses.SQL),
     (chat.op11_chat_format, None),
     (runs.op12_periodic_runs, None),
     (whitening.op13_embedding_whitening, None),

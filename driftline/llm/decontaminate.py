@@ -7,7 +7,7 @@ postings (document, position, the words around it) of these terms only.  The lis
 window's two terms, each less its offset in the window, are intersected; what remains is
 the start of a match in all likelihood, and the whole window is compared with the words
 that the posting holds, so that no text is shuffled.  Proximity matches intersect the same two lists by the distance of their positions,
-whatever the order, and compare all the windows of text around them.
+whatever the order, and compare all the places around them in the words that the rarer term's posting holds.
 
 Benchmark terms are looked up in a hash set inside the scan while there are at most
 SET_TERMS of them and SET_BYTES in all, else by a join.  Tables are broadcast if their
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import small, table, written
 
 WINDOW = 10
+#: Words that proximity matches may stand away from their window's place.
+SLOP = 2
 #: Terms, and their characters in all, kept as a set inside the scan's expression.
 SET_TERMS, SET_BYTES = 50_000, 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,21 +130,24 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, doc_id: str = "d
     ranked = _rarest(base, w, w.select("win", F.size(F.array_distinct("ws")).alias("n"), F.size("ws").alias("len"), F.explode(F.array_distinct("ws")).alias("term")))
     one = F.col("r")[0]
     pick = written(ranked.select("win", one["len"].alias("len"), one["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["term"], one["term"]).alias("t2")))
-    postings = written(_hits(base, written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()), 1).select("key", "pos", "term"))
+    terms = written(pick.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
+    postings = written(_hits(base, terms, window + 2 * slop))
     # positions less than `reach` apart lie in the same stretch of `reach` words or in neighbouring ones
     p = written(pick.select("len", "t1", "t2").distinct().withColumn("reach", F.col("len") + 2 * slop))
     stretch = F.floor(F.col("pos") / F.col("reach"))
-    a = postings.join(small(p), F.col("term") == F.col("t1")).select("key", "len", "t1", "t2", "reach", F.col("pos").alias("p1"), stretch.alias("b"))
-    b = postings.join(small(p), F.col("term") == F.col("t2")).select("key", "len", "t1", "t2", F.col("pos").alias("p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("b"))
-    both = a.join(b, ["key", "len", "t1", "t2", "b"]).where(F.abs(F.col("p1") - F.col("p2")) < F.col("reach"))
-    first = F.greatest(F.lit(0), F.greatest("p1", "p2") - F.col("len") - (slop - 1))
-    starts = both.select("key", "len", "t1", "t2", F.explode(F.sequence(first, F.greatest(first, F.least("p1", "p2") + slop))).alias("start")).distinct()
-    c = starts.join(small(pick), ["len", "t1", "t2"]).select("key", "start", "win").join(small(w), "win")
-    last = F.greatest(F.lit(0), F.size("words") - F.size("ws"))
-    before = F.greatest(F.lit(0), F.col("start") - slop)
-    near = F.slice("words", before + 1, F.col("start") + F.size("ws") + slop - before)
-    hit = base.join(c, "key").where(F.col("start") <= last).where(F.size(F.array_except("ws", near)) == 0)
-    return hit.select(F.col("doc.doc_id").alias(doc_id), "start", "items").distinct()
+    a = postings.join(small(p), F.col("term") == F.col("t1")).select("key", "len", "t1", "t2", "reach", "pos", "before", "ctx", stretch.alias("b"))
+    b = postings.select("key", "pos", "term").join(small(p), F.col("term") == F.col("t2")).select("key", "len", "t1", "t2", F.col("pos").alias("p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("b"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "len", "t1", "t2", "b")]
+    near = a.alias("a").join(b.alias("b"), [*same, F.abs(F.col("a.pos") - F.col("b.p2")) < F.col("a.reach")], "left_semi")
+    c = near.join(small(pick), ["len", "t1", "t2"]).select("key", "pos", "before", "ctx", "win").join(small(w), "win")
+    # the posting's words are those of the text from `pos - before` on; all places that can hold it are among them
+    n, zero = F.size("ws"), F.col("pos") - F.col("before")
+    begin = lambda s: F.greatest(F.lit(0), s - slop)
+    around = lambda s: F.slice("ctx", begin(s) - zero + 1, s + n + slop - begin(s))
+    places = F.sequence(F.greatest(F.lit(0), F.col("pos") - n - (slop - 1)), F.col("pos") + slop)
+    hit = c.select("key", n.alias("len"), "items", F.explode(F.filter(places, lambda s: F.size(F.array_except("ws", around(s))) == 0)).alias("start"))
+    whole = hit.distinct().join(base.select("key", "doc", "n_words"), "key").where(F.col("start") <= F.greatest(F.lit(0), F.col("n_words") - F.col("len")))
+    return whole.select(F.col("doc.doc_id").alias(doc_id), "start", "items").distinct()
 
 
 def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -179,3 +184,22 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def op8_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, item_id: all places where an item's window stands in any order within SLOP words."""
+    found = proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), SLOP)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.explode("items").alias("item_id")).distinct()
+
+
+PROXIMITY_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_W} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_W} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, w[i:i + 9] AS ws FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+one AS MATERIALIZED (SELECT row_number() OVER () AS k, ws, len(ws) AS n FROM (SELECT DISTINCT ws FROM win)),
+wt AS MATERIALIZED (SELECT k, n, len(u) AS m, unnest(u) AS t FROM (SELECT k, n, list_distinct(ws) AS u FROM one)),
+dp AS MATERIALIZED (SELECT doc_id, len(w) AS nd, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM d),
+c AS MATERIALIZED (SELECT doc_id, k FROM (SELECT DISTINCT doc_id, t FROM dp) JOIN wt USING (t) GROUP BY doc_id, k, m HAVING count(*) = m),
+s AS (SELECT doc_id, k, m, t, unnest(range(greatest(0, pos - n - {SLOP - 1}), least(greatest(0, nd - n), pos + {SLOP}) + 1)) AS start FROM c JOIN wt USING (k) JOIN dp USING (doc_id, t))
+SELECT DISTINCT doc_id, start, item_id FROM (SELECT doc_id, k, start FROM s GROUP BY doc_id, k, start, m HAVING count(DISTINCT t) = m) JOIN one USING (k) JOIN win USING (ws)
+"""

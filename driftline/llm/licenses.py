@@ -44,7 +44,7 @@ TEMPLATES = {
 CC = "This work is licensed under a Creative Commons Attribution"
 FSF = "as published by the Free Software Foundation"
 
-#: More notices; op10_license_scan_all looks for them too.  The headers hold only what the GPL's header doesn't mostly hold too.
+#: More notices.  The headers hold only what the GPL's header doesn't mostly hold too.
 MORE = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "agpl-header": f"under the terms of the GNU Affero General Public License {FSF}",
@@ -155,17 +155,17 @@ def _named(matches: DataFrame) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(scan(table(spark, sf_dir, "documents")))
+    return _named(scan(table(spark, sf_dir, "documents"), TEMPLATES | MORE))
 
 
 def op10_license_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both lists of notices."""
-    return _named(scan(table(spark, sf_dir, "documents"), TEMPLATES | MORE))
+    """The same; kept for those who call it by this name."""
+    return op10_license_scan(spark, sf_dir)
 
 
 def _sql() -> str:
     words = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-    rows = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in (TEMPLATES | MORE).items())
     return f"""
 WITH t AS (SELECT n, {words.format("t")} AS w FROM (VALUES {rows}) AS v(n, t)),
 ts AS (SELECT DISTINCT n, w[i:i + 4] AS g FROM (SELECT n, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM t)),
