@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import approximate, density, frozen, hierarchy, linkage, metrics, neighbours
+from .operators import approximate, density, frozen, fusion, hierarchy, linkage, metrics, neighbours
 from .operators.storage import Store
 from .plans import harness, methods, prefixes, reports
 from .sources import streams
@@ -417,3 +417,10 @@ SELECT stream_id, count(*) AS recompute_count, sum(u)::BIGINT AS fitted_points,
 def prefix_work(spark, sf):
     """The fits that ran for full prefixes by average linkage at each 50th arrival."""
     return prefixes.work(prefixes.refit(_points(spark, sf), "ahc", 50))
+
+
+@query()
+def compressed_streams(spark, sf):
+    """Streams of 500 points fused down to 495, clustered by density before each fusion."""
+    out = fusion.compress(_points(spark, sf), streams.SESSION - 5)
+    return out.select("stream_id", "seq", F.array_join("members", ",").alias("members"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
