@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .functions import vector as V
-from .operators import approximate, density, frozen, fusion, hierarchy, linkage, metrics, neighbours
+from .operators import approximate, density, frozen, fusion, hierarchy, linkage, metrics, neighbours, spectral
 from .operators.storage import Store
 from .plans import harness, methods, prefixes, reports
 from .sources import streams
@@ -375,6 +375,12 @@ def ahc_large(spark, sf):
     return linkage.average_linkage(_points(spark, sf)).join(_points(spark, sf).select("seq", "label"), "seq").select("seq", "label", "pred")
 
 
+@query()
+def spectral_large(spark, sf):
+    """All vectors as one set by the leading eigenvectors of the graph of 50 neighbours: pred is the least seq of the cluster."""
+    return spectral.cluster(_points(spark, sf)).join(_points(spark, sf).select("seq", "label"), "seq").select("seq", "label", "pred")
+
+
 @query()
 def approximate_neighbours(spark, sf):
     """The five nearest that share a bucket."""
