@@ -95,3 +95,23 @@ def store(spark: SparkSession, points: DataFrame, methods: list[str], config: Co
     if ok:
         reports.save(trace(points, sorted(ok), config), f"{path}/trace", "csv")
     return rows
+
+
+def store_sweep(rows: DataFrame, path: str) -> DataFrame:
+    """A rate sweep's rows as CSV below `path`/sweep, one a (interval, stream, method); as read back."""
+    reports.save(rows, f"{path}/sweep", "csv")
+    return rows.sparkSession.read.csv(f"{path}/sweep", header=True, schema=rows.schema)
+
+
+def store_seeds(rows: DataFrame, path: str) -> DataFrame:
+    """The summaries of seeds as CSV (`path`/seeds, one row a stream and method) and JSON (`path`/runs), mean and deviation by method as JSON (`path`/aggregate); the last as read back.
+
+    The aggregate is of the rows as stored, so the methods run once.
+    """
+    spark = rows.sparkSession
+    reports.save(rows, f"{path}/runs")
+    runs = spark.read.schema(rows.schema).json(f"{path}/runs")
+    reports.save(runs, f"{path}/seeds", "csv")
+    aggregate = reports.by_method(runs.where("status = 'ok'"), SEED_METRICS)
+    reports.save(aggregate, f"{path}/aggregate")
+    return spark.read.schema(aggregate.schema).json(f"{path}/aggregate")

@@ -288,7 +288,6 @@ class Deferred(Method):
                 self.count["cheap_update_count"] += 1
                 self.count["local_update_count"] += 1
                 self.pending += 1
-                self.max_pending = max(self.max_pending, self.pending)
                 force = self.pending >= self.c.batch_size
                 action = "buffer"
             else:
@@ -298,6 +297,7 @@ class Deferred(Method):
             if force:
                 self.pending = 0
         self.held += 1
+        self.max_pending = max(self.max_pending, self.held)
         self.max_queue_depth = max(self.max_queue_depth, min(self.held, self.c.max_queue))
         if len(self.commits) >= self.c.max_queue:
             self.count["backpressure_count"] += 1

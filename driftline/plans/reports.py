@@ -31,23 +31,32 @@ def compare(rows: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:
     return others.join(F.broadcast(base), how="left").select("method", role_of().alias("role"), *metrics, *[(F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in metrics])
 
 
+#: Rates that a comparison carries where the summaries have them.
+RATES = ["full_trigger_rate", "cheap_update_rate", "distance_comparisons_per_input"]
+
+
 def compare_to_full(full: DataFrame, candidates: DataFrame, metrics: list[str], counters: list[str] = (), baseline: str = "full_hdbscan") -> DataFrame:
-    """The baseline's summary, which must be one row, and the candidates' without any of the baseline: status, speed-up, counters, metrics and deltas.
+    """The baseline's summary, which must be one row, and the candidates' without any of the baseline: status, speed-up, counters, rates, metrics and deltas.
 
-    The speed-up is the baseline's steady mean over the method's own, 0 for a failed method or one without a mean.
+    Where a summary has no steady mean or P95, that of all steps (mean_step_ms, p95_step_ms) stands for it, and a baseline
+    without any raises.  The speed-up is the baseline's mean over the method's own, 0 for a failed method or one without a mean.
+    Columns that only one of the two frames has are null in the other.
     """
-    one = full.where(F.col("method") == baseline)
-    if one.limit(2).count() != 1:
+    rows = full.where(F.col("method") == baseline)
+    if rows.limit(2).count() != 1:
         raise ValueError(f"there must be one summary of {baseline}")
-    held = ["steady_mean_step_ms", "steady_p95_step_ms", *metrics]
-    base = one.select(*[F.col(c).alias(f"_{c}") for c in held])
-    mean = F.coalesce("steady_mean_step_ms", F.lit(0.0))
-    speed = F.when((F.col("status") == "ok") & (mean > 0), F.col("_steady_mean_step_ms") / F.nullif(mean, F.lit(0.0))).otherwise(0.0)
-    rows = one.unionByName(candidates.where(F.col("method") != baseline)).join(F.broadcast(base))  # one row
-    return rows.select(
-        "method", role_of().alias("role"), "status", mean.alias("steady_mean_step_ms"), F.col("_steady_mean_step_ms").alias("full_steady_mean_step_ms"), speed.alias("speedup_vs_full"),
-        F.coalesce("steady_p95_step_ms", F.lit(0.0)).alias("steady_p95_step_ms"), F.col("_steady_p95_step_ms").alias("full_steady_p95_step_ms"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
-        *metrics, *[(F.col(m) - F.col(f"_{m}")).alias(f"delta_{m}") for m in metrics],
+    rows = rows.unionByName(candidates.where(F.col("method") != baseline), allowMissingColumns=True)
+    of = lambda *names: F.coalesce(*[F.col(c) for c in names if c in rows.columns], F.lit(None).cast("double"))
+    rows = rows.withColumns({"_mean": of("steady_mean_step_ms", "mean_step_ms"), "_p95": of("steady_p95_step_ms", "p95_step_ms")})
+    held = ["_mean", "_p95", *metrics]
+    base = rows.where(F.col("method") == baseline).select(*[F.col(c).alias(f"_full_{c}") for c in held])
+    timed = F.when(F.col("_full__mean").isNull(), F.raise_error(F.lit(f"{baseline} has no mean"))).otherwise(F.col("_full__mean"))
+    mean = F.coalesce("_mean", F.lit(0.0))
+    speed = F.when((F.col("status") == "ok") & (mean > 0), timed / F.nullif(mean, F.lit(0.0))).otherwise(0.0)
+    return rows.join(F.broadcast(base)).select(  # one row
+        "method", role_of().alias("role"), "status", mean.alias("steady_mean_step_ms"), timed.alias("full_steady_mean_step_ms"), speed.alias("speedup_vs_full"),
+        F.coalesce("_p95", F.lit(0.0)).alias("steady_p95_step_ms"), F.col("_full__p95").alias("full_steady_p95_step_ms"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in RATES if c in rows.columns and c not in counters], *metrics, *[(F.col(m) - F.col(f"_full_{m}")).alias(f"delta_{m}") for m in metrics],
     )
 
 
