@@ -71,7 +71,7 @@ def asked(points: DataFrame, bits: int, tables: int, probes: int, seed: int = 0)
 def compared_in_buckets(rows: DataFrame, k: int, store: Store, part: int = PART) -> DataFrame:
     """i, distance, j: the k nearest that each point finds in each bucket where it asks."""
     sizes = store(rows.groupBy("t", "code").agg(F.count_if("stands").alias("n"), F.count("*").alias("m")).where("n > 0").select("t", "code", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("nd"), F.ceil(F.col("m") / F.lit(part)).cast("int").alias("nq")))
-    each = rows.join(neighbours.few(sizes, 4), ["t", "code"])
+    each = rows.join(neighbours.few(sizes), ["t", "code"])
     deal = lambda n: F.pmod(F.xxhash64("seq"), F.col(n)).cast("int")
     here = each.where("stands").select("t", "code", "seq", "embedding", deal("nd").alias("d"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(True).alias("stands"))
     ask = each.select("t", "code", "seq", "embedding", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("d"), deal("nq").alias("q"), F.lit(False).alias("stands"))

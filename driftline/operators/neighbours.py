@@ -8,15 +8,18 @@ rows and are meant for one bounded stream.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vector as V
+from .storage import Store
 
 #: Bytes of a broadcast side, and points of one matrix product.
 FEW_BYTES = 16 << 20
@@ -25,10 +28,24 @@ TILE = 1024
 GROUP = 8192
 
 
-def few(df: DataFrame, dim: int = 64) -> DataFrame:
-    """The frame with a broadcast hint if its rows, counted with vectors of `dim`, have FEW_BYTES at most."""
-    most = FEW_BYTES // (8 * dim)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def size_of(df: DataFrame) -> int:
+    """An estimate from above of the rows' bytes, by the lengths that they have; computes the frame once."""
+
+    def width(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.ArrayType, T.StructType, T.MapType, T.StringType, T.BinaryType)):
+            return F.when(c.isNotNull(), F.size(c) * 8)
+        return F.length(F.to_json(F.struct(c))) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.lit(8)
+
+    one = reduce(lambda x, y: x + y, [F.coalesce(width(f), F.lit(0)) + 16 for f in df.schema.fields])
+    return df.agg(F.sum(one.cast("long"))).first()[0] or 0
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint if its rows, counted in bytes, have FEW_BYTES at most; it should be a written table or little work."""
+    return F.broadcast(df) if size_of(df) <= FEW_BYTES else df
 
 
 def compared(points: DataFrame, run: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -132,12 +149,12 @@ def representatives(points: DataFrame, label: str = "label") -> DataFrame:
 def nearest_two(points: DataFrame, reps: DataFrame) -> DataFrame:
     """seq, nearest, best, second: the two nearest representatives, ties by label.
 
-    While the representatives' bytes are few they are one broadcast array, and each point takes its two
-    least in place, without a shuffle; beyond, points and representatives are joined and aggregated.
+    The representatives are written once.  While their bytes, counted there, are few they are one broadcast array, and each point
+    takes its two least in place, without a shuffle; beyond, points and representatives are joined and aggregated.
     """
     scored = lambda e, l, rep: F.struct(F.round(V.cosine_distance(e, rep), 9).alias("d"), l.alias("r"))
-    most = FEW_BYTES // 512
-    if reps.limit(most + 1).count() <= most:
+    reps = Store(reps.sparkSession)(reps)
+    if size_of(reps) <= FEW_BYTES:
         one = reps.agg(F.collect_list(F.struct("label", "rep")).alias("reps"))
         two = points.select("seq", "embedding").join(F.broadcast(one)).select("seq", F.slice(F.array_sort(F.transform("reps", lambda x: scored("embedding", x["label"], x["rep"]))), 1, 2).alias("l"))
     else:
@@ -157,7 +174,7 @@ def core_distances(points: DataFrame, k: int) -> DataFrame:
 
 
 def mutual_reachability(points: DataFrame, k: int) -> DataFrame:
-    c = few(core_distances(points, k), 2)
+    c = few(Store(points.sparkSession)(core_distances(points, k)))
     out = pairs(points).join(c, "i").join(c.select(F.col("i").alias("j"), F.col("core").alias("core_j")), "j")
     return out.select("i", "j", F.greatest("distance", "core", "core_j").alias("reach"))
 
@@ -182,9 +199,10 @@ def spread(points: DataFrame, reps: DataFrame, q: float = 0.95) -> DataFrame:
 
 def reinsert_noise(points: DataFrame, noise: DataFrame, factor: float = 1.5) -> DataFrame:
     """seq, label: noise points within factor x spread of their nearest cluster, else -1."""
-    reps = representatives(points)
+    store = Store(points.sparkSession)
+    reps = store(representatives(points))
     near = nearest_two(noise, reps)
-    return near.join(few(spread(points, reps)), near["nearest"] == F.col("label")).select("seq", F.when(F.round("best", 6) <= F.round(factor * F.col("spread"), 6), F.col("nearest")).otherwise(-1).alias("label"))
+    return near.join(few(store(spread(points, reps))), near["nearest"] == F.col("label")).select("seq", F.when(F.round("best", 6) <= F.round(factor * F.col("spread"), 6), F.col("nearest")).otherwise(-1).alias("label"))
 
 
 def best_pair(points: DataFrame) -> DataFrame:
@@ -194,7 +212,7 @@ def best_pair(points: DataFrame) -> DataFrame:
     """
     sized = points.where("label >= 0")
     n = sized.groupBy("label").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    tagged = sized.join(few(n, 2), "label").withColumn("tile", F.pmod(F.xxhash64("seq"), F.col("tiles")).cast("int"))
+    tagged = sized.join(few(n), "label").withColumn("tile", F.pmod(F.xxhash64("seq"), F.col("tiles")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["embedding"].to_list()).astype(np.float64)

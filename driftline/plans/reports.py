@@ -83,7 +83,7 @@ def by_method(rows: DataFrame, metrics: list[str], key: str = "method") -> DataF
 def latency(steps: DataFrame, key: str, value: str, step: str) -> DataFrame:
     """Mean and 95th percentile, with and without the first step."""
     first = F.min(step)
-    steady = steps.join(F.broadcast(steps.groupBy(key).agg(first.alias("_f"))), key).withColumn("_s", F.when(F.col(step) > F.col("_f"), F.col(value)))
+    steady = steps.join(steps.groupBy(key).agg(first.alias("_f")), key).withColumn("_s", F.when(F.col(step) > F.col("_f"), F.col(value)))
     q = lambda c: F.round(F.percentile(c, F.lit(0.95)), 6)
     return steady.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(value).alias("p95"), F.round(F.avg("_s"), 6).alias("steady_mean"), q("_s").alias("steady_p95"))
 
