@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,27 @@ from pyspark.sql import functions as F
 #: At most so many bytes of rows are broadcast; beyond it the joins shuffle.
 BROADCAST_BYTES = 16 << 20
 
-_open: list[str] = []
-_closed: list[str] = []
 _tables: dict[str, str] = {}
 
 
+class Folders:
+    """Folders of one run: those that operators write to now, and those of stages that have ended."""
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.closed: list[str] = []
+
+
+_run: ContextVar[Folders] = ContextVar("driftline_folders")
+
+
+def folders() -> Folders:
+    """The folders of this thread's run: a thread (or a copied context) has its own, so that runs side by side don't delete each other's tables."""
+    if _run.get(None) is None:
+        _run.set(Folders())
+    return _run.get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession) -> str:
     """A path for a table: in the open `intermediate` folder, else in the session's."""
-    top = _open[-1] if _open else f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
+    top = folders().open[-1] if folders().open else f"{shared_dir(spark)}/driftline/{spark.sparkContext.applicationId}"
     return f"{top}/{uuid.uuid4().hex}"
 
 
@@ -83,7 +100,7 @@ def partitions(spark: SparkSession) -> int:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it is, and the names of the tables in it."""
-    for name in [n for n, p in _tables.items() if p.startswith(path)]:
+    for name in [n for n, p in list(_tables.items()) if p.startswith(path)]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         del _tables[name]
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -92,33 +109,39 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def intermediate(spark: SparkSession) -> Iterator[None]:
-    """What operators write inside goes at the end; results must have been written to a path of their own by then."""
+    """What operators write inside goes at the end; results must have been written to a path of their own by then.
+
+    Inside is a run of its own: its stages delete no tables of stages that were called before it.
+    """
     path = new_path(spark)
-    _open.append(path)
+    mine = Folders()
+    mine.open.append(path)
+    token = _run.set(mine)
     try:
         yield
     finally:
-        _open.remove(path)
+        _run.reset(token)
         delete(spark, path)
 
 
 @contextmanager
 def stage_tables(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
-    """What operators write inside stays for the stage's result; what earlier stages wrote goes now, unless `docs` reads it.
+    """What operators write inside stays for the stage's result; what earlier stages of this run wrote goes now, unless `docs` reads it.
 
-    A stage's result must be written before the next stage is called, as `docs` of the next is then.
+    A stage's result must be written before the next stage of the run is called, as `docs` of the next is then.
     """
-    read = docs.inputFiles() if _closed else []
-    for path in [p for p in _closed if not any(p.rsplit("/", 1)[1] in f for f in read)]:
-        _closed.remove(path)
+    run = folders()
+    read = docs.inputFiles() if run.closed else []
+    for path in [p for p in run.closed if not any(p.rsplit("/", 1)[1] in f for f in read)]:
+        run.closed.remove(path)
         delete(spark, path)
     path = new_path(spark)
-    _open.append(path)
+    run.open.append(path)
     try:
         yield
     finally:
-        _open.remove(path)
-        _closed.append(path)
+        run.open.remove(path)
+        run.closed.append(path)
 
 
 def release(spark: SparkSession) -> None:
