@@ -8,7 +8,8 @@ answer for each of its hashes, in the run's order.  A frequent n-gram takes one
 a block at most, so there is no hot range, and what a range holds is the corpus's
 distinct n-grams divided by the number of ranges, which follows the corpus's size.  Blocks
 are bundled level by level where there are more than FAN ranges, so that the rows
-exchanged are FAN for each block and level, not one for each block and range.
+exchanged are FAN for each block and level, not one for each block and range.  A bundle is of as
+many units as a unit has parts, so that a part of a bundle is no larger than a unit.
 
 Blocks are rows, so a lost task is done again on the same documents.
 """
@@ -28,8 +29,10 @@ from .common import bucketed
 #: Bytes of text in a block (one longer text makes a block of its own), and bytes of text for each hash range.
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
-#: Runs of a block, and of a bundle of blocks, on each level of the exchange.
-FAN = 128
+#: Runs of a block, and of a bundle of blocks, on each level of the exchange, at most: about as many as a block has documents.
+FAN = 4096
+#: Hash ranges of a small corpus.
+LEAST = 128
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -88,8 +91,8 @@ def totals(blocks: DataFrame) -> tuple[int, int]:
 
 
 def ranges(size: int, range_bytes: int = RANGE_BYTES) -> int:
-    """Number of hash ranges for so many bytes of text; FAN at least, so that it is the same for all small corpora."""
-    return max(FAN, -(-size // range_bytes))
+    """Number of hash ranges for so many bytes of text; LEAST at least, so that it is the same for all small corpora."""
+    return max(min(LEAST, FAN), -(-size // range_bytes))
 
 
 def pack_keys(a: np.ndarray, more: bytes = b"") -> bytes:
@@ -143,12 +146,21 @@ def key_bits(size: int) -> int:
     return min(64, max(48, size.bit_length() + 16))
 
 
+def fan(n: int) -> tuple[int, int]:
+    """(parts of a unit, levels): the fewest levels of FAN parts that reach n ranges, and the fewest parts that reach them in so many levels."""
+    levels = 1
+    while FAN**levels < n:
+        levels += 1
+    parts = max(2, int(n ** (1 / levels)))
+    while parts**levels < n:
+        parts += 1
+    return parts, levels
+
+
 def top_step(n: int) -> int:
-    """Ranges in a part of the first level: the largest power of FAN under n."""
-    step = 1
-    while step * FAN < n:
-        step *= FAN
-    return step
+    """Ranges in a part of the first level."""
+    parts, levels = fan(n)
+    return parts ** (levels - 1)
 
 
 def range_of(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -213,11 +225,11 @@ ANSWERS = "unit long, part int, answer binary"
 def answer(runs: DataFrame, kind, units: int, step: int | None = None) -> DataFrame:
     """unit, part, answer: an answer to each run of send.
 
-    Up to FAN ranges a part is a range and is judged at once.  Beyond, some FAN units of one part
-    are a bundle: `down` makes one run of theirs for each of its FAN smaller parts, these
-    are answered as runs of as many fewer units, and `up` takes the bundle's answers apart for
-    its units.  A unit has FAN runs at most on each level, so the rows of a level are
-    FAN x blocks and not ranges x blocks, at any size of the corpus.
+    Up to FAN ranges a part is a range and is judged at once.  Beyond, units have as many parts on
+    every level (`fan`), and some as many units of one part are a bundle: `down` makes one run of theirs for each
+    of its smaller parts, these are answered as runs of as many fewer units, and `up` takes the bundle's answers
+    apart for its units.  A unit has FAN runs at most on each level, so the rows of a level are
+    FAN x blocks and not ranges x blocks, and a bundle's part has the keys of one block, at any size of the corpus.
     """
     step = top_step(kind.n) if step is None else step
     if step == 1:
@@ -226,7 +238,8 @@ def answer(runs: DataFrame, kind, units: int, step: int | None = None) -> DataFr
             return pd.DataFrame({"unit": pdf["unit"], "part": pdf["part"], "answer": kind.judge(list(pdf["run"]))})
 
         return runs.groupBy("part").applyInPandas(judge, ANSWERS)
-    bundles, below = -(-units // FAN), step // FAN
+    parts = fan(kind.n)[0]
+    bundles, below = -(-units // parts), step // parts
     tagged = runs.withColumn("bundle", F.pmod(F.xxhash64("unit"), F.lit(max(1, bundles))))
 
     def down(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +247,7 @@ def answer(runs: DataFrame, kind, units: int, step: int | None = None) -> DataFr
         return pd.DataFrame(out, columns=["unit", "part", "run"])
 
     got = answer(tagged.groupBy("bundle", "part").applyInPandas(down, RUNS), kind, bundles, below)
-    got = got.select(F.col("unit").alias("bundle"), F.floor(F.col("part") / F.lit(FAN)).cast("int").alias("part"), F.col("part").alias("sub"), "answer")
+    got = got.select(F.col("unit").alias("bundle"), F.floor(F.col("part") / F.lit(parts)).cast("int").alias("part"), F.col("part").alias("sub"), "answer")
 
     def up(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit")

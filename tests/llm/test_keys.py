@@ -52,3 +52,29 @@ def test_rows_of_the_exchange_follow_the_blocks():
         runs = list(kind.split(keys, np.zeros(len(keys), bool), step))
         assert len(runs) <= blocks.FAN and sum(len(blocks.unpack_keys(r)[0]) for _, r in runs) == len(keys)
         assert all((int(k) * n >> 48) // step == part for part, r in runs for k in blocks.unpack_keys(r)[0][[0, -1]])
+
+
+def test_a_bundle_holds_no_more_than_a_few_blocks(spark, monkeypatch, tmp_path):
+    """Just above FAN ranges there were FAN blocks in a bundle of two parts: a task held half of all their keys."""
+    monkeypatch.setattr(blocks, "FAN", 32)
+    units, each, seen = 64, 1000, str(tmp_path / "seen")
+
+    def combine(keys, values):
+        with open(seen, "a") as f:
+            f.write(f"{len(keys)}\n")
+        return blocks.any_of(keys, values)
+
+    n = 40
+    kind = blocks.Keys(n, 64, bool, bool, combine, blocks.in_several)
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, each, dtype=np.uint64))
+    rows = [(u, part, bytearray(run)) for u in range(units) for part, run in kind.split(keys, np.zeros(each, bool), blocks.top_step(n))]
+    out = blocks.answer(spark.createDataFrame(rows, blocks.RUNS), kind, units).toPandas()
+    assert all(blocks.in_order(a, bool).all() and len(blocks.in_order(a, bool)) == each for _, a in out.groupby("unit")) and out["unit"].nunique() == units
+    assert max(map(int, open(seen).read().split())) <= 4 * each
+
+
+def test_parts_of_all_levels_are_as_many(monkeypatch):
+    assert blocks.top_step(500) == 1  # 6 GB of text in ranges of 12 MB
+    for n in (129, 5_000, 20_000, 1 << 20):
+        parts, levels = blocks.fan(n)
+        assert parts <= blocks.FAN and (parts - 1) ** levels < n <= parts**levels and parts ** (levels - 1) == blocks.top_step(n)
