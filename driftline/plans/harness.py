@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..operators.storage import Store
 from . import reports
 from .methods import METHODS, Config, measured, replay
 
@@ -27,12 +28,16 @@ def preset(name: str) -> tuple[list[str], Config]:
     return methods, Config(**changes)
 
 
-def with_quality(summaries: DataFrame) -> DataFrame:
-    """The summaries with the quality of their final labels in place of these; null for failed methods."""
-    final = summaries.select(*KEYS, F.inline("final"))
-    scored = metrics.quality(final, KEYS).join(metrics.accuracy(final, KEYS), list(KEYS))
+def with_quality(summaries: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The summaries with the quality of their final labels in place of these; null for failed methods.
+
+    They are written first: each figure reads the labels, and the methods run once.
+    """
+    summaries = Store(summaries.sparkSession)(summaries)
+    final = summaries.select(*keys, F.inline("final"))
+    scored = metrics.quality(final, keys).join(metrics.accuracy(final, keys), list(keys))
     points = F.size(F.coalesce("final", F.array().cast("array<struct<seq:long,label:long,pred:long>>"))).cast("long")
-    return summaries.withColumn("evaluation_points", points).drop("final").join(scored, list(KEYS), "left")
+    return summaries.withColumn("evaluation_points", points).drop("final").join(scored, list(keys), "left")
 
 
 def run(points: DataFrame, methods: list[str], config: Config = Config()) -> DataFrame:
@@ -42,7 +47,7 @@ def run(points: DataFrame, methods: list[str], config: Config = Config()) -> Dat
 
 def trace(points: DataFrame, methods: list[str], config: Config = Config()) -> DataFrame:
     """A row for each checkpoint: step, action, counters, points that are evaluated, clusters and quality; the last one's action is `finalize`."""
-    rows = replay(points, methods, config)
+    rows = Store(points.sparkSession)(replay(points, methods, config))
     by = (*KEYS, "step")
     held = [c for c in rows.columns if c not in (*by, "seq", "label", "pred", "action", "last")]
     per = rows.groupBy(*by).agg(F.first(F.when(F.col("last"), "finalize").otherwise(F.col("action"))).alias("action"), F.count("*").alias("evaluation_points"), *[F.first(c).alias(c) for c in held])
@@ -58,9 +63,9 @@ def rate_sweep(points: DataFrame, intervals: list[float], methods: list[str], co
     out = None
     for ms in intervals:
         lag = -(-int(maintenance_ms * 1000) // max(1, int(ms * 1000))) if ms > 0 else 1 << 30
-        rows = run(points, methods, dataclasses.replace(config, commit_lag=lag)).withColumn("interval_ms", F.lit(float(ms)))
+        rows = measured(points, methods, dataclasses.replace(config, commit_lag=lag)).withColumn("interval_ms", F.lit(float(ms)))
         out = rows if out is None else out.unionByName(rows)
-    return out.select(
+    return with_quality(out, ("interval_ms", *KEYS)).select(
         "interval_ms", *KEYS, "status", F.col("steady_mean_step_ms").alias("decision_mean_ms"), F.col("steady_p95_step_ms").alias("decision_p95_ms"), "maintenance_ms_total", "maintenance_ms_max",
         "max_pending", "max_queue_depth", "recompute_count", F.col("cluster_accuracy_noise_singletons").alias("acc"), "ari", "nmi", "false_merge_rate",
     )
