@@ -1,19 +1,17 @@
 """Density clustering of any number of points as a dataflow: spanning tree, condensed tree, labels.
 
-1. Core distances come from `neighbours.nearest`.
-2. Points are compared by pairs of groups.  Each pair's task gives a minimum spanning tree of its
-   own points under mutual reachability: an edge that is not in the tree of a part of the graph is in no
-   tree of the whole, so these candidates hold the whole's tree, and every distance is computed once.
-3. Borůvka rounds over the candidates: each component takes its least edge, components are joined
-   along these edges by pointer jumping, and edges are kept once for each pair of components.  Edges
-   are ordered by (weight, points), so the tree is the only one.
+1. Each point's NEAR nearest others come from `scan.nearest`, and core distances with them.
+2. Borůvka rounds over these lists: a component takes its least known edge where no point's list ends before
+   it, since what lists leave out weighs no less than their ends; components are joined by pointer jumping,
+   and edges are kept once for each pair of components.  Edges are ordered by (weight, points), so the tree is the only one.
+3. Where no component can be sure, the points whose lists end too early get new lists, of the least edges to other components.
 4. The tree's edges are dealt to levels of LEVEL edges by weight.  From the lightest level up, a
    level's merges make the hierarchy's nodes, and with them what the condensed tree needs of
    each: its size, and two sums from which the mass of a cluster follows when it ends in a
    split.  So excess of mass is decided on the way up.  From the heaviest level down, nodes pass the
    chosen cluster on to their parts, points at last.
 
-A task holds one pair of groups or one level, whatever the number of points; the comparisons are n ** 2
+A task holds one block of the scan or one level, whatever the number of points; the comparisons are n ** 2
 by nature, the rest is of the order of n.
 
 Distances are rounded to DIGITS so that ties are ties on every machine.  The root is no cluster; ids
@@ -24,16 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import scan
 from .storage import Store
 
-#: Decimal digits of distances, and edges in a level.
+#: Decimal digits of distances, edges in a level, and neighbours in a list.
 DIGITS = 9
 LEVEL = 1 << 20
+NEAR = 16
 
 
 def distance_rows(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -45,59 +43,14 @@ def distance_rows(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.round(d, DIGITS)
 
 
-def core_distances(points: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """seq, core: the distance to the k-th other point, or to the furthest where there are fewer."""
-
-    def run(left, right, same):
-        for a, b in ((left, right),) if same else ((left, right), (right, left)):
-            for at in range(0, len(a[0]), neighbours.TILE):
-                ids = a[0][at : at + neighbours.TILE]
-                d = distance_rows(a[1][at : at + neighbours.TILE], b[1], metric)
-                if same:
-                    d[ids[:, None] == b[0]] = np.inf
-                i, w, j = neighbours.least(ids, b[0], d, k)
-                yield pa.table({"i": i, "distance": w, "j": j})
-
-    near = neighbours.top(neighbours.compared(points, run, "i long, distance double, j long"), k)
-    return near.select(F.col("i").alias("seq"), F.element_at("near", -1)["distance"].alias("core"))
-
-
-def candidates(points: DataFrame, metric: str = "cosine") -> DataFrame:
-    """a, b, w (a < b): the spanning trees of the pairs of groups, by Prim's rule; points have seq, embedding and core."""
-
-    def run(left, right, same):
-        ids = left[0] if same else np.concatenate((left[0], right[0]))
-        x = left[1] if same else np.concatenate((left[1], right[1]))
-        core = left[2] if same else np.concatenate((left[2], right[2]))
-        order = np.argsort(ids)
-        ids, x, core = ids[order], x[order], core[order]
-        n = len(ids)
-        square = (x**2).sum(1)
-        near, link, at, out = np.full(n, np.inf), np.zeros(n, np.int64), 0, []
-        rest = np.arange(1, n)
-        for _ in range(n - 1):
-            dot = x[rest] @ x[at] if len(rest) * 4 < n else (x @ x[at])[rest]
-            d = 1 - np.clip(dot, -1, 1) if metric == "cosine" else np.sqrt(np.maximum(0, square[rest] + square[at] - 2 * dot))
-            w = np.maximum(np.maximum(core[rest], core[at]), np.round(d, DIGITS))
-            # of equal weights the least pair of points
-            old = link[rest]
-            closer = (w < near[rest]) | ((w == near[rest]) & ((np.minimum(rest, at) < np.minimum(rest, old)) | ((np.minimum(rest, at) == np.minimum(rest, old)) & (np.maximum(rest, at) < np.maximum(rest, old)))))
-            near[rest[closer]], link[rest[closer]] = w[closer], at
-            here = near[rest]
-            tied = np.flatnonzero(here == here.min())
-            if len(tied) > 1:
-                v = rest[tied]
-                tied = tied[np.lexsort((np.maximum(v, link[v]), np.minimum(v, link[v])))]
-            v = int(rest[tied[0]])
-            out.append((min(v, link[v]), max(v, link[v]), near[v]))
-            rest, at = np.delete(rest, tied[0]), v
-        if out:
-            a, b, w = zip(*out)
-            yield pa.table({"a": ids[list(a)], "b": ids[list(b)], "w": np.array(w, np.float64)})
-
-    # where there are several groups, a group's own pairs are part of its pairs with others
-    found = neighbours.compared(points, run, "a long, b long, w double", ("core",))
-    return found.groupBy("a", "b").agg(F.min("w").alias("w"))
+def _jumped(up: DataFrame, store: Store) -> DataFrame:
+    """p, r: where each ends along its links, by pointer jumping."""
+    while True:
+        jump = up.select(F.col("p").alias("r"), F.col("r").alias("r2"))
+        nxt = store(up.join(jump, "r").select("p", F.col("r2").alias("r"), (F.col("r2") != F.col("r")).alias("moved")))
+        up = nxt.select("p", "r")
+        if nxt.where("moved").isEmpty():
+            return up
 
 
 def boruvka(edges: DataFrame, store: Store) -> DataFrame:
@@ -112,12 +65,7 @@ def boruvka(edges: DataFrame, store: Store) -> DataFrame:
         # of two that chose each other the lesser is the root
         back = best.select(F.col("p").alias("q"), F.col("q").alias("p2"))
         up = store(best.join(back, "q").select("p", F.when((F.col("p2") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("r")))
-        while True:
-            jump = up.select(F.col("p").alias("r"), F.col("r").alias("r2"))
-            nxt = store(up.join(jump, "r").select("p", F.col("r2").alias("r"), (F.col("r2") != F.col("r")).alias("moved")))
-            up = nxt.select("p", "r")
-            if nxt.where("moved").isEmpty():
-                break
+        up = _jumped(up, store)
         low = up.select("p", F.col("r").alias("rp"))
         high = up.select(F.col("p").alias("q"), F.col("r").alias("rq"))
         joined = left.join(low, "p").join(high, "q").where("rp <> rq")
@@ -125,12 +73,115 @@ def boruvka(edges: DataFrame, store: Store) -> DataFrame:
     return tree.select("a", "b", "w") if tree is not None else spark.createDataFrame([], "a long, b long, w double")
 
 
+def _edge(i: str, j: str, w: F.Column) -> F.Column:
+    return F.struct(w.alias("w"), F.least(i, j).alias("a"), F.greatest(i, j).alias("b"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """p < q, e: the least edge of each pair of components."""
+    return edges.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min("e").alias("e"))
+
+
+def _merged(left: DataFrame, ends: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """(a, b, w of the edges taken; p, r: what each component has become) in one round of those that are sure."""
+    best = left.union(left.select("q", "p", "e")).groupBy("p").agg(F.min(F.struct("e", "q")).alias("m")).select("p", "m.q", "m.e")
+    now = store(ends.join(best, "p", "left").withColumn("sure", F.col("e").isNotNull() & (F.col("cut").isNull() | (F.col("e") <= F.col("cut")))))
+    sure = now.where("sure")
+    # of two that chose each other the lesser is the root, and so are those that wait
+    back = sure.select(F.col("p").alias("q"), F.col("q").alias("p2"))
+    mine = F.when(~F.col("sure") | ((F.col("p2") == F.col("p")) & (F.col("p") < F.col("q"))), F.col("p")).otherwise(F.col("q"))
+    return sure.select("e.a", "e.b", "e.w").distinct(), _jumped(store(now.join(back, "q", "left").select("p", mine.alias("r"))), store)
+
+
+def _merged_in_task(left: DataFrame, ends: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """As `_merged`, all rounds until none is sure, of LEVEL edges at most."""
+
+    def rounds(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        edges, ends = edges.sort_values(["w", "a", "b"]), ends
+        # cuts as the number of edges up to them
+        w, a, b = (edges[c].to_numpy() for c in "wab")
+        upto, all_of = np.full(len(ends), len(w)), np.lexsort(tuple(np.concatenate((edges[c].to_numpy(), ends[c].to_numpy())) for c in "baw"))
+        is_edge = all_of < len(w)
+        upto[all_of[~is_edge] - len(w)] = is_edge.cumsum()[~is_edge]
+        names, first = np.unique(ends["p"].to_numpy(), return_index=True)
+        limit, comp = upto[first], np.arange(len(names))
+        p, q, at, taken = np.searchsorted(names, edges["p"].to_numpy()), np.searchsorted(names, edges["q"].to_numpy()), np.arange(len(w)), []
+        while len(at):
+            x, y = comp[p[at]], comp[q[at]]
+            at, x, y = at[x != y], x[x != y], y[x != y]
+            best, other = np.full(len(names), len(w)), np.arange(len(names))
+            # edges are in order, so the first of a component is its least
+            for mine, its in ((x, y), (y, x)):
+                u, i = np.unique(mine, return_index=True)
+                less = at[i] < best[u]
+                best[u[less]], other[u[less]] = at[i[less]], its[i[less]]
+            sure = best < limit
+            if not sure.any():
+                break
+            taken.append(np.unique(best[sure]))
+            root = np.where(sure, other, np.arange(len(names)))
+            mutual = (root[root] == np.arange(len(names))) & (np.arange(len(names)) < root)
+            root[mutual] = np.flatnonzero(mutual)
+            while (root[root] != root).any():
+                root = root[root]
+            np.minimum.at(limit, root, limit)
+            comp = root[comp]
+        t = np.concatenate([*taken, np.zeros(0, np.int64)]).astype(np.int64)
+        return pd.DataFrame({"kind": np.repeat([0, 1], [len(t), len(names)]), "a": np.concatenate((a[t], names)), "b": np.concatenate((b[t], names[comp])), "w": np.concatenate((w[t], np.zeros(len(names))))})
+
+    one = left.select("p", "q", "e.*", F.lit(0).alias("g")).groupBy("g")
+    no_cut = [F.coalesce(f"cut.{c}", F.lit(most).cast(kind)).alias(c) for c, most, kind in (("w", "inf", "double"), ("a", -1, "long"), ("b", -1, "long"))]
+    made = store(one.cogroup(ends.select("p", *no_cut, F.lit(0).alias("g")).groupBy("g")).applyInPandas(rounds, "kind int, a long, b long, w double"))
+    return made.where("kind = 0").select("a", "b", "w"), made.where("kind = 1").select(F.col("a").alias("p"), F.col("b").alias("r"))
+
+
 def spanning_tree(points: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """a, b, w: the n - 1 edges of the minimum spanning tree under mutual reachability with the k-th other point."""
-    spark = points.sparkSession
+    spark, most = points.sparkSession, max(k, NEAR)
     with Store(spark) as store:
-        cored = store(points.join(core_distances(points, k, metric), "seq").select("seq", "embedding", "core"))
-        return Store(spark)(boruvka(candidates(cored, metric), store))
+        bare = store(points.select("seq", "embedding"))
+        near = store(scan.nearest(bare, most, metric, DIGITS))
+        # what is not in a point's list is no nearer than its last; a list of all others leaves nothing out
+        n = bare.count()
+        last = F.element_at("near", -1)["distance"]
+        cut = F.when(F.lit(n - 1 > most), F.struct(last.alias("w"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")))
+        core = F.element_at("near", F.least(F.lit(k), F.size("near")))["distance"]
+        known = store(near.select(F.col("i").alias("seq"), core.alias("core"), cut.alias("cut")))
+        cored = store(bare.join(known.select("seq", "core"), "seq"))
+        c = known.select(F.col("seq").alias("j"), F.col("core").alias("core_j"))
+        listed = near.join(known.select(F.col("seq").alias("i"), "core"), "i").select("i", "core", F.explode("near").alias("x")).select("i", "core", "x.j", "x.distance").join(c, "j")
+        left = store(_contracted(listed.select(F.col("i").alias("p"), F.col("j").alias("q"), _edge("i", "j", F.greatest("core", "core_j", "distance")).alias("e"))))
+        cuts, at = known.select("seq", "cut"), known.select("seq", F.col("seq").alias("comp"))
+        ends = known.select(F.col("seq").alias("p"), "cut")
+        tree: list[DataFrame] = []
+        while True:
+            edges, up = (_merged_in_task if left.count() <= LEVEL else _merged)(left, ends, store)
+            if edges.isEmpty():
+                if ends.count() < 2:
+                    break
+                # points whose list ends before their component's least known edge look outside of it
+                best = left.union(left.select("q", "p", "e")).groupBy(F.col("p").alias("comp")).agg(F.min("e").alias("e"))
+                comp = at.join(best, "comp", "left").join(cuts, "seq")
+                rows = store(comp.where("cut is not null and (e is null or cut < e)").select("seq", "comp").join(cored, "seq"))
+                found = store(scan.nearest(rows, most, metric, DIGITS, at.join(cored, "seq")))
+                seen = found.select(F.col("i").alias("seq"), F.when(F.size("near") == most, _edge("i", F.element_at("near", -1)["j"], F.element_at("near", -1)["distance"])).alias("new"))
+                looked = rows.select("seq", F.lit(True).alias("looked")).join(seen, "seq", "left")
+                cuts = store(cuts.join(looked, "seq", "left").select("seq", F.when(F.col("looked"), F.col("new")).otherwise(F.col("cut")).alias("cut")))
+                each = found.select("i", F.explode("near").alias("x")).select("i", "x.j", "x.distance")
+                of = lambda c, name: at.select(F.col("seq").alias(c), F.col("comp").alias(name))
+                more = each.join(of("i", "p"), "i").join(of("j", "q"), "j").select("p", "q", _edge("i", "j", F.col("distance")).alias("e"))
+                left = store(_contracted(left.union(more)))
+                ends = store(at.join(cuts, "seq").groupBy(F.col("comp").alias("p")).agg(F.min("cut").alias("cut")))
+                continue
+            tree.append(edges)
+            at = store(at.join(up.withColumnRenamed("p", "comp"), "comp").select("seq", F.col("r").alias("comp")))
+            ends = store(ends.join(up, "p").groupBy(F.col("r").alias("p")).agg(F.min("cut").alias("cut")))
+            low, high = up.select("p", F.col("r").alias("rp")), up.select(F.col("p").alias("q"), F.col("r").alias("rq"))
+            left = store(_contracted(left.join(low, "p").join(high, "q").where("rp <> rq").select(F.col("rp").alias("p"), F.col("rq").alias("q"), "e")))
+        out = spark.createDataFrame([], "a long, b long, w double")
+        for edges in tree:
+            out = out.union(edges)
+        return Store(spark)(out.select("a", "b", "w"))
 
 
 def _merging(first: int, least: int):
