@@ -60,11 +60,10 @@ def rate_sweep(points: DataFrame, intervals: list[float], methods: list[str], co
     Arrivals come every so many milliseconds of virtual time, and a commit takes `maintenance_ms` of it: it
     becomes visible that many arrivals later, so that faster arrivals meet older representatives.
     """
-    out = None
-    for ms in intervals:
-        lag = -(-int(maintenance_ms * 1000) // max(1, int(ms * 1000))) if ms > 0 else 1 << 30
-        rows = measured(points, methods, dataclasses.replace(config, commit_lag=lag)).withColumn("interval_ms", F.lit(float(ms)))
-        out = rows if out is None else out.unionByName(rows)
+    lags = [-(-int(maintenance_ms * 1000) // max(1, int(ms * 1000))) if ms > 0 else 1 << 30 for ms in intervals]
+    each = F.array(*[F.struct(F.lit(float(ms)).alias("interval_ms"), F.lit(lag).alias("of")) for ms, lag in zip(intervals, lags)])
+    # runs of the same lag are the same
+    out = measured(points, methods, config, False, list(dict.fromkeys(lags))).select("*", F.inline(each)).where("of = lag").drop("of", "lag")
     return with_quality(out, ("interval_ms", *KEYS)).select(
         "interval_ms", *KEYS, "status", F.col("steady_mean_step_ms").alias("decision_mean_ms"), F.col("steady_p95_step_ms").alias("decision_p95_ms"), "maintenance_ms_total", "maintenance_ms_max",
         "max_pending", "max_queue_depth", "recompute_count", F.col("cluster_accuracy_noise_singletons").alias("acc"), "ari", "nmi", "false_merge_rate",

@@ -103,3 +103,28 @@ def test_streams_are_not_put_together(spark):
     points = spark.createDataFrame([(f"s{i % 40}", int(i), [float(e) for e in v], int(l)) for i, v, l in zip(pdf["seq"], pdf["embedding"], pdf["label"])], "stream_id string, seq long, embedding array<float>, label long")
     for rows in (P.replay(points, ["diart_style"]), P.measured(points, ["diart_style"])):
         assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_lags_share_fits(spark, monkeypatch):
+    """The runs of a stream at several lags are those of one lag each, and fit each number of arrivals once."""
+    import dataclasses
+
+    from driftline.plans import methods as P
+
+    pdf, config, chosen = S.synthetic(3, 20, 8, 1), P.Config(batch_size=4, least=3), ["adaptive_fishdbc_async", "fishdbc", "compressed_hdbscan"]
+    points = spark.createDataFrame([(f"s{i % 2}", int(i), [float(e) for e in v], int(l)) for i, v, l in zip(pdf["seq"], pdf["embedding"], pdf["label"])], "stream_id string, seq long, embedding array<float>, label long")
+    timed = lambda df: df.drop(*[c for c in df.columns if "_ms" in c or c == "peak_python_mb"])
+    got = sorted(map(str, timed(P.measured(points, chosen, config, lags=[10, 1])).collect()))
+    want = [f"Row(lag={lag}, " + str(r)[4:] for lag in (10, 1) for r in timed(P.measured(points, chosen, dataclasses.replace(config, commit_lag=lag))).collect()]
+    assert got == sorted(want) and len(got) == 12
+    fits, memo = [], {}
+    monkeypatch.setattr(P.D, "cluster", lambda x, *a, f=P.D.cluster: fits.append(len(x)) or f(x, *a))
+    for lag in (10, 1):
+        for name in chosen[:2]:
+            m = P.method(name, dataclasses.replace(config, commit_lag=lag))
+            m.memo = memo
+            for v in pdf["embedding"]:
+                m.update(np.asarray(v, np.float32))
+                m.evaluation()
+            m.finish()
+    assert len(fits) == len(set(fits)) and m.saved > 0
